@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import quality, sentences, terms
+from newsloom.llm import encoding, leaks, quality, sentences, terms
 
-MODULES = (sentences, terms, quality)
+MODULES = (sentences, terms, encoding, leaks, quality)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
