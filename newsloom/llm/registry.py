@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import encoding, leaks, lines, quality, sentences, spans, terms
+from newsloom.llm import encoding, leaks, lines, near, quality, sentences, spans, terms
 
-MODULES = (sentences, terms, lines, spans, encoding, leaks, quality)
+MODULES = (sentences, terms, near, lines, spans, encoding, leaks, quality)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
