@@ -135,7 +135,7 @@ def chosen(tree: int, level: int) -> tuple[int, int]:
 
 
 def _branch(key: np.ndarray, place: int, value: np.ndarray) -> np.ndarray:
-    return mix(key * np.uint64(31) + np.uint64(place * 256) + value.astype(np.uint64))
+    return mix(mix(key) ^ (np.uint64(place * 256) + value.astype(np.uint64)))
 
 
 def _paths(levels: int):
@@ -285,7 +285,7 @@ def near_duplicates(articles: DataFrame, threshold: float = THRESHOLD) -> tuple[
     levels = max(1, math.ceil(math.log(max(1.0, total / NODE_ROWS)) / -math.log(UNRELATED)))
     nodes = reps.mapInArrow(_paths(levels), "node long, tree int, id string, sig binary")
     pairs = nodes.repartition("node").sortWithinPartitions("node").mapInArrow(_join_nodes(levels), "a string, b string")
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     text = F.concat_ws(" ", F.coalesce("headline", F.lit("")), F.array_compact(F.coalesce("paragraphs", F.array().cast("array<string>"))))
     texts = docs.select("id", text.alias("text"))
     one = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a")
