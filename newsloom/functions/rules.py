@@ -136,6 +136,18 @@ PRONOUNS = ["he", "she", "it", "they", "we", "i", "you", "this", "that", "these"
 WEAK_STARTS = ["He", "She", "It", "They", "That", "Those", "Some", "Since"]
 
 
+#: Each group of cleaning rules with what a text must hold for any rule of the group to match.
+GROUPS = [
+    (r"[\t\n\x0B\f\r]|  ", WHITE),
+    (r"(?i)top news|on the net|mail|filed by|for use by|photo|phone:|pager:|technical|questions|http|www|\(undated\)|\s\.\s+\.|\(\s*\)|staff reporting|^by |washington post|associated press", TAGLINES),
+    (r"\((?:AP|JP)\)|--|_", DATELINES),
+    (r"-|_|/|^\.|^\s*nn\s*$|^\s*[a-z]{2}[0-9]{2}$", JUNK),
+    (r"(?i)^\s*with|newsbrief|^endit$|optional|not otherwise|\([a-z]{2,4}\)", MARKERS),
+    (r"[`'\"]", QUOTES),
+]
+QUOTE_GUARD = r"[\"']"
+
+
 def cleaning(remove_quotes: bool = False) -> list[tuple[str, str]]:
     """All cleaning rules in order."""
     return WHITE + TAGLINES + DATELINES + JUNK + MARKERS + QUOTES + (NO_QUOTES if remove_quotes else []) + WHITE

@@ -24,8 +24,21 @@ def rewrite_sql(text: str, steps: list[tuple[str, str]]) -> str:
     return text
 
 
+def clean_all(texts: Column, remove_quotes: bool = False) -> Column:
+    """Cleans every text of an array. A group of rules is skipped where none of it can match; the text is a lambda
+    variable, so the chain stays as long as the list of rules."""
+    groups = rules.GROUPS + ([(rules.QUOTE_GUARD, rules.NO_QUOTES)] if remove_quotes else []) + [rules.GROUPS[0]]
+    for guard, steps in groups:
+        texts = _guarded(texts, guard, steps)
+    return F.transform(texts, lambda t: F.trim(t))
+
+
+def _guarded(texts: Column, guard: str, steps: list[tuple[str, str]]) -> Column:
+    return F.transform(texts, lambda t: F.when(t.rlike(guard), rewrite(t, steps)).otherwise(t))
+
+
 def clean_text(text: Column, remove_quotes: bool = False) -> Column:
-    return F.trim(rewrite(text, rules.cleaning(remove_quotes)))
+    return clean_all(F.array(text), remove_quotes)[0]
 
 
 MARK = "\x01"

@@ -11,7 +11,7 @@ from newsloom.functions import text as T
 def cleaned(articles: DataFrame) -> DataFrame:
     """Adds clean: the cleaned paragraphs that aren't empty."""
     paras = F.filter(F.coalesce("paragraphs", F.array().cast("array<string>")), lambda p: p.isNotNull())
-    return articles.withColumn("clean", F.filter(F.transform(paras, lambda p: T.clean_text(p)), lambda p: p != ""))
+    return articles.withColumn("clean", F.filter(T.clean_all(paras), lambda p: p != ""))
 
 
 def paragraphs(articles: DataFrame) -> DataFrame:

@@ -14,8 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each id; a delivery repeated has the same date, headline and paragraphs."""
-    return table(spark, sf_dir, "articles").where("id is not null").select("id", "date", "headline", "paragraphs").dropDuplicates(["id"])
+    """One row for each id; a delivery repeated has the same date, headline and paragraphs. The number of partitions is
+    kept: what follows is heavy on the processor, not on bytes, and would else be coalesced into few tasks."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return table(spark, sf_dir, "articles").where("id is not null").select("id", "date", "headline", "paragraphs").repartition(n, "id").dropDuplicates(["id"])
 
 
 def docset(spark: SparkSession, sf_dir: str) -> DataFrame:
