@@ -208,7 +208,8 @@ class Encoder(dict):
         return [array("i", chain.from_iterable(map(self.__getitem__, w))) for w in words]
 
 
-_ENCODERS: dict[int, Encoder] = {}
+#: The worker's last vocabulary and its encoder.
+_HELD: list = [None, None]
 
 
 def encode_texts(documents: DataFrame, name: str = "byte_bpe_50k", folder: str = TOKENIZERS, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -219,9 +220,9 @@ def encode_texts(documents: DataFrame, name: str = "byte_bpe_50k", folder: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared.value
-        encoder = _ENCODERS.get(id(vocabulary))
-        if encoder is None:
-            encoder = _ENCODERS[id(vocabulary)] = Encoder(*vocabulary)
+        if _HELD[0] is not vocabulary:
+            _HELD[:] = [vocabulary, Encoder(*vocabulary)]
+        encoder = _HELD[1]
         for batch in batches:
             texts = [t or "" for t in batch[text].to_pylist()]
             for block in chunks([len(t) for t in texts]):
