@@ -458,10 +458,10 @@ _DATED = f"{CAND}, dc AS (SELECT cand.*, docs.date FROM cand JOIN docs USING (id
 
 
 @query(f"""WITH {_DATED}, f AS (SELECT *, regexp_split_to_array(trim(text), '\\s+')[1] AS w1 FROM dc)
-SELECT topic_id, id, sent_index, round(score * 100 + CASE WHEN sent_index IN (0, -1) THEN 15 ELSE 0 END - CASE WHEN w1 IN ({_WEAK}) THEN 10 WHEN contains('The', w1) THEN 5 ELSE 0 END - date_diff('day', min(date) OVER (PARTITION BY topic_id), date) * 0.1::DOUBLE + n_words * 0.22::DOUBLE, 6) AS start_score FROM f""")
+SELECT topic_id, id, sent_index, round(score * 100 + CASE WHEN sent_index IN (0, -1) THEN 15 ELSE 0 END - CASE WHEN w1 IN ({_WEAK}) THEN 10 WHEN contains('The', w1) THEN 5 ELSE 0 END - date_diff('day', min(date) OVER (PARTITION BY topic_id), date) * 0.1::DOUBLE + n_words * 0.22::DOUBLE, 8) AS start_score FROM f""")
 def start_scores(spark: SparkSession, d: str) -> DataFrame:
     dated = _candidates(spark, d).join(tables.articles(spark, d).select("id", "date"), "id")
-    return order.start_score(dated).select("topic_id", "id", "sent_index", F.round("start_score", 6).alias("start_score"))
+    return order.start_score(dated).select("topic_id", "id", "sent_index", F.round("start_score", 8).alias("start_score"))
 
 
 @query(f"""WITH {_DATED} SELECT a.topic_id, a.id AS a, a.sent_index AS a_index, b.id AS b, b.sent_index AS b_index, round(CASE WHEN a.id = b.id THEN CASE WHEN b.sent_index > a.sent_index THEN greatest(20 - 0.2::DOUBLE * (b.sent_index - a.sent_index), 15) ELSE 5.0::DOUBLE / (a.sent_index - b.sent_index) + 10 END
