@@ -109,7 +109,7 @@ def merge_piece(ids: list[int], pairs: dict[int, tuple[int, int]]) -> list[int]:
 
 
 NONE = 1 << 62
-#: Pieces of fewer bytes are merged together, in one array of trees for each size; longer ones one by one.
+#: Trees of fewer leaves are merged together, in one array for each size; longer pieces one by one.
 LONG = 4096
 
 
@@ -143,8 +143,9 @@ class Merger:
                 for i, ids in zip(part, self.forest([pieces[i] for i in part], size)):
                     out[i] = ids
             size *= 2
-        for i in np.flatnonzero(sizes > LONG):
+        for i in np.flatnonzero(sizes > max(1, size // 2 + (size > 1))):  # all that the largest forest leaves
             out[i] = tuple(merge_piece(self.byte_ids[np.frombuffer(pieces[i], np.uint8)].tolist(), self.pairs))
+        assert all(ids or not p for ids, p in zip(out, pieces)), "a piece got no ids"
         return out
 
     def forest(self, pieces: list[bytes], size: int) -> list[tuple[int, ...]]:

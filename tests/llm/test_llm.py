@@ -169,6 +169,15 @@ def test_encoding_equals_library(spark):
     assert encoding.merge_piece([ids[b] for b in b"hello"], pairs) == lib.encode("hello", add_special_tokens=False).ids
 
 
+def test_pieces_of_all_lengths_get_ids():
+    ids, pairs = encoding.load_vocabulary()
+    merger = encoding.Merger(ids, pairs)
+    sizes = [1, 2, 3, 4, 5, 1024, 1025, 1026, 2048, 2049, 2050, 3000, 4095, 4096, 4097, 4098, 8200]
+    pieces = [(b * k)[:k] for k in sizes for b in (b"=", b"abcde", b"\n")]
+    for p, got in zip(pieces, merger.merge(pieces)):
+        assert list(got) == encoding.merge_piece([ids[b] for b in p], pairs), len(p)
+
+
 def test_leaks(spark):
     words = [f"w{i}" for i in range(40)]
     bench = spark.createDataFrame([(1, " ".join(words[:30]), "k"), (2, "Short one here!", "k"), (3, None, "k"), (4, "...", "k"), (None, "w1", "k")], "item_id long, text string, kind string")
