@@ -1,10 +1,10 @@
-"""Sentence boundaries across languages and scripts by document-centred disambiguation.
+"""Sentence boundaries across languages and scripts by the abbreviations of the collection, then of the document.
 
 Whether a full stop after a word ends a sentence is decided from unambiguous occurrences: a word followed by
 ".", a blank and a lower-case word is an abbreviation there; a capitalised word whose lower-case form stands
 elsewhere in the same document is a common word, so a capital after a stop marks a beginning. The counts of the
-document come first; where they are silent, those of the whole collection decide (`abbreviation_evidence`, one
-pass and one aggregation). Scripts without blanks or with stops of their own have terminator rules of their own.
+whole collection come first (`abbreviation_evidence`, one pass and one aggregation); where they are silent, the
+document decides: after an abbreviation of its own only a word it shows to be common begins a sentence. Scripts without blanks or with stops of their own have terminator rules of their own.
 
 Defined results: null and blank paragraphs have no sentence; a paragraph without a stop is one sentence; an
 article with null paragraphs has no row; ids that come again give one set of rows; null ids are left out.
@@ -160,9 +160,11 @@ class Splitter:
         return _is_common(word, *self._words)
 
     def own_abbreviation(self, word: str) -> bool:
-        """Does the document itself show the word with a stop before a lower-case word?"""
+        """Does the document itself show the word with a stop before a lower-case word, and nowhere without a stop?"""
         if self._own is None:
-            self._own = {x for t in self.texts for m in _FOLLOW.finditer(t) if _is_lower(m[2]) and (x := _word(m[1]))}
+            if self._words is None:
+                self._words = _vocabulary(self.texts)
+            self._own = {x for t in self.texts for m in _FOLLOW.finditer(t) if _is_lower(m[2]) and (x := _word(m[1]))} - self._words[0]
         return word in self._own
 
     def stop_ends(self, x: str, y: str) -> bool:
@@ -172,14 +174,13 @@ class Splitter:
             return False
         if _DEVANAGARI.match(x):
             return False  # the danda ends sentences there, the full stop marks abbreviations
-        ends = self.known.get((self.lang, x))
-        if ends is None and len(x) > 2 and x[1] in "’'":  # an article may be elided before it
-            ends = self.known.get((self.lang, x[2:]))
+        forms = [x, x[2:]] if len(x) > 2 and x[1] in "’'" else [x]  # an article may be elided before it
+        ends = next((e for w in forms if (e := self.known.get((self.lang, w))) is not None), None)
         if ends is None:
             if len(x) == 1 and x.isalpha() or x in BEFORE_NAMES:
                 ends = False
-            elif "." in x or self.own_abbreviation(x):
-                ends = True
+            elif any(map(self.own_abbreviation, forms)):
+                return self.common(y)
             else:
                 return True
         if ends:

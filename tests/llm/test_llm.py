@@ -49,6 +49,13 @@ def test_sentence_counts(text, n):
     assert "".join("".join(got).split()) == "".join(text.split())
 
 
+def test_document_decides_where_the_collection_is_silent():
+    text = "The Gaz. reported losses. Then Gaz. Marlow left the Gaz. The end came."
+    assert split(text) == ["The Gaz. reported losses.", "Then Gaz. Marlow left the Gaz.", "The end came."]
+    assert len(split(text, known={("ENG", "Gaz"): True})) == 4
+    assert len(split("He ran. then he ran off. Ash ran. Bob too.")) == 3  # a slip makes no abbreviation of "ran"
+
+
 def test_scripts_without_blanks():
     assert split("“一。二。”他说。三！四", "CMN") == ["“一。二。”他说。", "三！", "四"]
     assert split("ราคา 33.9 ล้าน สองคน", "THA") == ["ราคา 33.9 ล้าน", "สองคน"]
