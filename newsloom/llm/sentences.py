@@ -29,7 +29,9 @@ MOST_ABBREVIATIONS = 50_000
 LOWER_SHARE = 0.15
 #: At most this share of common words among capitalised followers: the abbreviation never ends a sentence.
 NEVER_SHARE = 0.05
-#: Followers a word needs before the collection may call it one that never ends a sentence.
+#: Documents with a lower-case follower from which a word with a stop may be an abbreviation.
+LEAST_LOWER = 3
+#: Documents with another follower that a word needs before the collection may call it one that never ends a sentence.
 LEAST_FOLLOWERS = 18
 
 #: A word that stands without a stop in more than this share of its documents is no abbreviation by its followers alone.
@@ -53,7 +55,7 @@ _FOLLOW = re.compile(r"(?<![^\s(“„«\"`\[])[(“„«\"`\[]*(\S{1,14})\.\s+(
 _LEAD = "(“„«\"`'‘[¿¡’"
 _DEVANAGARI = re.compile(r"[ऀ-ॿ]")
 
-EVIDENCE = pa.schema([("lang", pa.string()), ("word", pa.string()), ("lower", pa.int64()), ("common", pa.int64()), ("other", pa.int64()), ("plain", pa.int64())])
+EVIDENCE = pa.schema([("lang", pa.string()), ("word", pa.string()), *((c, pa.int64()) for c in ("lower", "common", "other", "plain", "lower_docs", "capital_docs"))])
 SENTENCES = pa.schema([("id", pa.string()), ("para_no", pa.int32()), ("start_pos", pa.int32()), ("end_pos", pa.int32())])
 
 
@@ -119,29 +121,38 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if lang in ("CMN", "JPN", "THA") or not texts:
                 continue
             words, starters = _vocabulary(texts)
+            seen: set[tuple[str, str, int]] = set()
             for x, k in _followers(texts, words, starters):
                 counts[lang, x, k] += 1
                 if x in words:
                     counts[lang, x, 3] += 1
+                seen.add((lang, x, 5 if k else 4))
+            counts.update(seen)
         keys = list(dict.fromkeys((a, b) for a, b, _ in counts))
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), *(pa.array([counts[(*k, c)] for k in keys], pa.int64()) for c in range(4))], schema=EVIDENCE)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), *(pa.array([counts[(*k, c)] for k in keys], pa.int64()) for c in range(6))], schema=EVIDENCE)
 
 
 def abbreviation_evidence(articles: DataFrame) -> DataFrame:
-    """(lang, word, lower, common, other, plain): what follows each word with a stop, over all articles; plain: how
-    often the document also has the word without a stop."""
+    """(lang, word, lower, common, other, plain, lower_docs, capital_docs): what follows each word with a stop, over all
+    articles, an id that comes again counted once; plain: how often the document also has the word without a stop;
+    lower_docs, capital_docs: documents in which a lower-case word, another word follows."""
+    return _evidence_of_distinct(distinct_articles(articles.withColumn("headline", F.lit(None).cast("string"))))
+
+
+def _evidence_of_distinct(documents: DataFrame) -> DataFrame:
+    counts = EVIDENCE.names[2:]
     return (
-        articles.select("id", "paragraphs").where(F.col("id").isNotNull())
-        .mapInArrow(_evidence, "lang string, word string, lower long, common long, other long, plain long")
-        .groupBy("lang", "word").agg(*(F.sum(c).alias(c) for c in ("lower", "common", "other", "plain")))
+        documents.select("id", "paragraphs")
+        .mapInArrow(_evidence, "lang string, word string, " + ", ".join(f"{c} long" for c in counts))
+        .groupBy("lang", "word").agg(*(F.sum(c).alias(c) for c in counts))
     )
 
 
 def abbreviations(evidence: DataFrame, most: int = MOST_ABBREVIATIONS) -> dict[tuple[str, str], bool]:
     """Abbreviations of the collection: (lang, word) -> may it end a sentence? Bounded by `most`."""
     capital = F.col("common") + F.col("other")
-    lower = (F.col("lower") >= 3) & (F.col("lower") >= LOWER_SHARE * (F.col("lower") + capital))
-    never = (F.col("common") <= NEVER_SHARE * capital) & (((capital >= LEAST_FOLLOWERS) & ((F.col("plain") <= PLAIN_SHARE * capital) | (F.length("word") == 1) | (F.col("word") == "##"))) | lower)
+    lower = (F.col("lower_docs") >= LEAST_LOWER) & (F.col("lower") >= LOWER_SHARE * (F.col("lower") + capital))
+    never = (F.col("common") <= NEVER_SHARE * capital) & (((F.col("capital_docs") >= LEAST_FOLLOWERS) & ((F.col("plain") <= PLAIN_SHARE * capital) | (F.length("word") == 1) | (F.col("word") == "##"))) | lower)
     rows = evidence.where(lower | never).select("lang", "word", (~never).alias("ends")).orderBy(F.desc(F.col("lower") + capital), "lang", "word").limit(most).collect()
     return {(r.lang, r.word): r.ends for r in rows}
 
@@ -336,11 +347,13 @@ def _split_batches(known: dict[tuple[str, str], bool]):
 def split_sentences(articles: DataFrame, known: dict[tuple[str, str], bool] | None = None) -> DataFrame:
     """(id, para_no, start_pos, end_pos) of every sentence; known: the collection's abbreviations, else learned here."""
     spark: SparkSession = articles.sparkSession
+    documents = distinct_articles(articles.withColumn("headline", F.lit(None).cast("string"))).select("id", "paragraphs")
     if known is None:
-        known = abbreviations(abbreviation_evidence(articles))
+        documents = written(documents, "documents")  # read for the evidence and for the split
+        known = abbreviations(_evidence_of_distinct(documents))
     shared = spark.sparkContext.broadcast(known)
     run = lambda batches: _split_batches(shared.value)(batches)
-    return distinct_articles(articles.withColumn("headline", F.lit(None).cast("string"))).select("id", "paragraphs").mapInArrow(run, "id string, para_no int, start_pos int, end_pos int")
+    return documents.mapInArrow(run, "id string, para_no int, start_pos int, end_pos int")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

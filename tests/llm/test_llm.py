@@ -56,6 +56,15 @@ def test_document_decides_where_the_collection_is_silent():
     assert len(split("He ran. then he ran off. Ash ran. Bob too.")) == 3  # a slip makes no abbreviation of "ran"
 
 
+def test_abbreviations_count_documents(spark):
+    again = [("S", ["He met Smith. Brown ran."])] * 30
+    inside = [("T", ["He met Jones. Brown ran. " * 30, "Etc. and so on etc. and. " * 9])]
+    many = [(f"U{i}", ["He met Prof. Brown."]) for i in range(18)]
+    got = sentences.abbreviations(sentences.abbreviation_evidence(articles(spark, again + inside + many)))
+    assert got == {("ENG", "Prof"): False}
+    assert sentences.split_sentences(articles(spark, again + many)).where("id = 'S'").count() == 2
+
+
 def test_scripts_without_blanks():
     assert split("“一。二。”他说。三！四", "CMN") == ["“一。二。”他说。", "三！", "四"]
     assert split("ราคา 33.9 ล้าน สองคน", "THA") == ["ราคา 33.9 ล้าน", "สองคน"]
