@@ -1,9 +1,9 @@
 """Near-duplicate records by a chosen-path set similarity join.
 
 A record is the set of SHINGLE-character substrings of its normalised text. Sets become signatures of minwise tokens
-(one-permutation hashing with densification). In each of TREES independent trees a node branches its records by two
-chosen places of the signature, so two records of similarity s stay together on a chosen path with probability s a
-place; small nodes are compared exhaustively by their signatures, and the pairs that may reach the threshold are
+(one-permutation hashing with densification). In each of some independent trees a node branches its records by two
+places of the signature chosen for its path, so two records of similarity s stay together on a path with probability s
+a place; there are as many trees as RECALL asks for at the threshold; small nodes are compared exhaustively by their signatures, and the pairs that may reach the threshold are
 checked exactly on their texts. The upper levels of a tree, chosen so that a node holds about NODE_ROWS unrelated
 records, are one shuffle; the lower ones are branched inside the task that gets the node.
 
@@ -34,7 +34,8 @@ THRESHOLD = 0.6
 PLACES = 64
 #: Bins of the one-permutation hashing; PLACES of them are kept.
 BINS = 128
-TREES = 7
+#: Expected share of the pairs at the threshold that must be found, in nodes of any depth up to LEVELS.
+RECALL = 0.99
 LEVELS = 7
 #: Nodes of at most so many records are compared exhaustively.
 SMALL = 40
@@ -128,30 +129,61 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([ids[s.start + i] for i in at], pa.string()), pa.array(whole[at, 0].view(np.int64)), pa.array(whole[at, 1].view(np.int64)), pa.array([sig[i].tobytes() for i in at], pa.binary())], names=["id", "h1", "h2", "sig"])
 
 
-def chosen(tree: int, level: int) -> tuple[int, int]:
-    """The two places by which nodes of a tree branch at a level."""
-    order = np.argsort(mix(np.arange(PLACES) + 1_000 * (tree + 1)))
-    return int(order[2 * level % PLACES]), int(order[(2 * level + 1) % PLACES])
+def survival(share: float, depth: int) -> float:
+    """Chance that a pair whose signatures agree in this share of places is together in a node at a tree's depth: each
+    node has two branches by places of its own, so a pair is lost only where all its paths are."""
+    q = 1.0
+    for _ in range(depth):
+        q = 1 - (1 - share * q) ** 2
+    return q
 
 
-def _branch(key: np.ndarray, place: int, value: np.ndarray) -> np.ndarray:
-    return mix(mix(key) ^ (np.uint64(place * 256) + value.astype(np.uint64)))
+def recall(similarity: float, depth: int, trees: int) -> float:
+    """Expected share of pairs of a similarity that become candidates and pass the signature check."""
+    ways = [math.comb(PLACES, k) * similarity**k * (1 - similarity) ** (PLACES - k) for k in range(PLACES + 1)]
+    return sum(w * (1 - (1 - survival(k / PLACES, depth)) ** trees) for k, w in enumerate(ways) if k >= AGREE * PLACES)
 
 
-def _paths(levels: int):
-    """Rows (node, id, sig) of the nodes that each record reaches after `levels` levels of each tree."""
+@functools.cache
+def trees_for(depth: int, target: float = RECALL) -> int:
+    """Fewest trees that reach the target at the threshold."""
+    return next(n for n in range(1, 200) if recall(THRESHOLD, depth, n) >= target)
+
+
+@functools.cache
+def places(trees: int, levels: int) -> np.ndarray:
+    """For each path code the two places its nodes branch by, none that the path has used. Roots have the codes trees
+    to 2 * trees - 1, the children of code c are 2 * c and 2 * c + 1."""
+    out = np.zeros((trees << levels, 2), np.int64)
+    for code in range(trees, trees << levels):
+        used, at = set(), code
+        while at >= 2 * trees:
+            used.add(int(out[at >> 1, at & 1]))
+            at >>= 1
+        order = np.argsort(mix(np.arange(PLACES) + 1_000 * (code + 1)))
+        out[code] = [p for p in order.tolist() if p not in used][:2]
+    return out
+
+
+def _branch(key: np.ndarray, place: np.ndarray, value: np.ndarray) -> np.ndarray:
+    return mix(mix(key) ^ (place.astype(np.uint64) * np.uint64(256) + value.astype(np.uint64)))
+
+
+def _paths(levels: int, trees: int):
+    """Rows (node, path, id, sig) of the nodes that each record reaches after `levels` levels of each tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = places(trees, LEVELS)
         for batch in batches:
             if not batch.num_rows:
                 continue
             sig = np.frombuffer(b"".join(batch["sig"].to_pylist()), np.uint8).reshape(-1, PLACES)
-            for tree in range(TREES):
-                nodes = [np.full(len(sig), tree + 1, np.uint64)]
-                for level in range(levels):
-                    nodes = [_branch(k, p, sig[:, p]) for k in nodes for p in chosen(tree, level)]
-                for k in nodes:
-                    yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(np.full(len(sig), tree, np.int32)), batch["id"], batch["sig"]], names=["node", "tree", "id", "sig"])
+            for tree in range(trees, 2 * trees):
+                nodes = [(tree, np.full(len(sig), tree, np.uint64))]
+                for _ in range(levels):
+                    nodes = [(2 * c + b, _branch(k, table[c, b], sig[:, table[c, b]])) for c, k in nodes for b in (0, 1)]
+                for c, k in nodes:
+                    yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(np.full(len(sig), c, np.int32)), batch["id"], batch["sig"]], names=["node", "path", "id", "sig"])
 
     return run
 
@@ -173,13 +205,13 @@ def _agreeing(sig: np.ndarray, members: np.ndarray, bounds: np.ndarray) -> Itera
         start = stop
 
 
-def node_pairs(sig: np.ndarray, node: np.ndarray, tree: np.ndarray, level: int) -> np.ndarray:
+def node_pairs(sig: np.ndarray, node: np.ndarray, path: np.ndarray, level: int, trees: int) -> np.ndarray:
     """Candidate pairs (row, row) of some nodes, which are branched on until they are small."""
     out = [np.zeros((0, 2), np.int64)]
-    rows = np.arange(len(sig))
+    rows, table = np.arange(len(sig)), places(trees, LEVELS)
     while len(rows):
         order = np.argsort(node, kind="stable")
-        rows, node, tree = rows[order], node[order], tree[order]
+        rows, node, path = rows[order], node[order], path[order]
         first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
         size = np.diff(np.concatenate((first, [len(rows)])))
         small = (size <= SMALL) | (level >= LEVELS)
@@ -189,26 +221,21 @@ def node_pairs(sig: np.ndarray, node: np.ndarray, tree: np.ndarray, level: int)
                 bounds = np.concatenate(([0], np.cumsum(size[pick])))
                 out += _agreeing(sig, members, bounds)
         go = np.repeat(~small, size)
-        rows, node, tree = rows[go], node[go], tree[go]
+        rows, node, path = rows[go], node[go], path[go]
         if len(rows):
-            next_rows, next_node, next_tree = [], [], []
-            for t in np.unique(tree):
-                at = tree == t
-                for p in chosen(int(t), level):
-                    next_rows.append(rows[at])
-                    next_node.append(_branch(node[at], p, sig[rows[at], p]))
-                    next_tree.append(tree[at])
-            rows, node, tree = np.concatenate(next_rows), np.concatenate(next_node), np.concatenate(next_tree)
+            at = [table[path, b] for b in (0, 1)]
+            node = np.concatenate([_branch(node, p, sig[rows, p]) for p in at])
+            rows, path = np.tile(rows, 2), np.concatenate([2 * path, 2 * path + 1])
         level += 1
     return np.unique(np.concatenate(out), axis=0)
 
 
-def _join_nodes(levels: int):
+def _join_nodes(levels: int, trees: int):
     """Candidate pairs of the nodes of a task; input sorted by node, one block of whole nodes is held."""
 
-    def one(node: list[np.ndarray], tree: list[np.ndarray], ids: list[pa.Array], sig: list[np.ndarray]) -> pa.RecordBatch:
+    def one(node: list[np.ndarray], path: list[np.ndarray], ids: list[pa.Array], sig: list[np.ndarray]) -> pa.RecordBatch:
         names = pa.chunked_array(ids, pa.string()).combine_chunks()
-        pairs = node_pairs(np.concatenate(sig), np.concatenate(node), np.concatenate(tree), levels)
+        pairs = node_pairs(np.concatenate(sig), np.concatenate(node), np.concatenate(path), levels, trees)
         return pa.RecordBatch.from_arrays([names.take(pa.array(pairs[:, 0])), names.take(pa.array(pairs[:, 1]))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +246,7 @@ def _join_nodes(levels: int):
                 continue
             node = batch["node"].to_numpy().view(np.uint64)
             sig = np.frombuffer(b"".join(batch["sig"].to_pylist()), np.uint8).reshape(-1, PLACES)
-            part = (node, batch["tree"].to_numpy(), batch["id"], sig)
+            part = (node, batch["path"].to_numpy().astype(np.int64), batch["id"], sig)
             if rows > 20_000:
                 cut = np.searchsorted(node != held[0][-1][-1], True) if (node != held[0][-1][-1]).any() else len(node)
                 for h, p in zip(held, part):
@@ -283,8 +310,10 @@ def near_duplicates(articles: DataFrame, threshold: float = THRESHOLD) -> tuple[
     reps = heads.select("id", "sig")
     total = signed.count()
     levels = max(1, math.ceil(math.log(max(1.0, total / NODE_ROWS)) / -math.log(UNRELATED)))
-    nodes = reps.mapInArrow(_paths(levels), "node long, tree int, id string, sig binary")
-    pairs = nodes.repartition("node").sortWithinPartitions("node").mapInArrow(_join_nodes(levels), "a string, b string")
+    levels = min(levels, LEVELS)
+    trees = trees_for(LEVELS)  # crowded nodes are branched to the last level, whatever the collection's size
+    nodes = reps.mapInArrow(_paths(levels, trees), "node long, path int, id string, sig binary")
+    pairs = nodes.repartition("node").sortWithinPartitions("node").mapInArrow(_join_nodes(levels, trees), "a string, b string")
     pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     text = F.concat_ws(" ", F.coalesce("headline", F.lit("")), F.array_compact(F.coalesce("paragraphs", F.array().cast("array<string>"))))
     texts = docs.select("id", text.alias("text"))

@@ -130,6 +130,26 @@ def test_near_duplicates_against_brute_force(spark):
     assert ("C1", "C2") in got and not got - want and len(want & got) >= 0.95 * len(want)
 
 
+def test_pairs_at_the_threshold_survive_all_levels():
+    """Pairs of signatures that agree in 0.61 of places, branched to the last level."""
+    rng = np.random.default_rng(4)
+    n = 1500
+    left = rng.integers(0, 256, (n, near.PLACES), dtype=np.uint8)
+    right = np.where(rng.random((n, near.PLACES)) < 0.61, left, left + 1 + rng.integers(0, 200, (n, near.PLACES), dtype=np.uint8)).astype(np.uint8)
+    trees = near.trees_for(near.LEVELS)
+    names = [str(i) for i in range(2 * n)]
+    batch = near.pa.RecordBatch.from_arrays([near.pa.array(names), near.pa.array([x.tobytes() for x in np.concatenate((left, right))], near.pa.binary())], names=["id", "sig"])
+    met = np.zeros(n, bool)
+    for b in near._paths(near.LEVELS, trees)(iter([batch])):
+        node = b["node"].to_numpy()
+        met |= node[:n] == node[n:]
+    assert met.mean() >= 0.985
+    assert near.recall(near.THRESHOLD, near.LEVELS, trees) >= near.RECALL > near.recall(near.THRESHOLD, near.LEVELS, trees - 1)
+    for code in range(trees << (near.LEVELS - 1), trees << near.LEVELS):
+        used = [int(near.places(trees, near.LEVELS)[code >> k + 1, code >> k & 1]) for k in range(near.LEVELS - 1)]
+        assert len(set(used)) == len(used)
+
+
 def test_repeated_lines(spark):
     rows = [(f"ABC2000010{i}.0001", [f"By Ash\nText number {i} is here", None]) for i in range(9)] + [(f"XYZ2000010{i}.0001", ["by  ASH "]) for i in range(7)] + EDGES
     got = sorted(tuple(r) for r in lines.repeated_lines(articles(spark, rows + rows[:2])).select("id", "para_no", "line_no").collect())
