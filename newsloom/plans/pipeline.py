@@ -34,11 +34,20 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.sentence_tokens(segment.sentences(tables.articles(spark, sf_dir)), stop_words(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def headline_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cleaned headlines as rows of tokens(), with sent_index -1."""
+    text = T.clean_text(F.col("headline"))
+    heads = tables.articles(spark, sf_dir).where("headline is not null").select("id", "date", F.lit(-1).cast("long").alias("para_idx"), F.lit(-1).cast("long").alias("sent_index"), text.alias("text")).where("text <> ''")
+    return segment.sentence_tokens(heads.withColumn("n_words", T.words_in(F.col("text"))), stop_words(spark, sf_dir))
+
+
 def select(tok: DataFrame, docset: DataFrame, topics: DataFrame, stop: list[str], config: Config) -> DataFrame:
     """The best sentences of each topic: (topic_id, id, sent_index, score, text)."""
     texts = tok.select("id", "sent_index", "text")
     if config.method == "select_lexrank":
-        words = tok.select("id", F.explode("tokens").alias("word")).groupBy("id", "word").agg(F.count("*").alias("cnt"))
+        if config.lexrank.threshold is not None:
+            raise ValueError("threshold adjacency isn't built")
+        words = tok.where("sent_index >= 0").select("id", F.explode("tokens").alias("word")).groupBy("id", "word").agg(F.count("*").alias("cnt"))
         idf = stats.idf(words)
         bias = lexrank.query_bias(tok, docset, query_tokens(topics, stop), idf) if config.lexrank.bias else None
         scored = lexrank.lexrank(lexrank.unit_vectors(tok, docset, idf), bias, config.lexrank.damping, config.lexrank.rounds)
@@ -56,6 +65,8 @@ def summarize(spark: SparkSession, sf_dir: str, config: Config | None = None) ->
     config = config or Config()
     docs = tables.articles(spark, sf_dir)
     tok = tokens(spark, sf_dir)
+    if config.method == "select_lexrank":
+        tok = tok.unionByName(headline_tokens(spark, sf_dir))
     picked = select(tok, tables.docset(spark, sf_dir), tables.topics(spark, sf_dir), stop_words(spark, sf_dir), config)
     final = realize.realize(picked, config.realization)
     return order.ordered(final.join(docs.select("id", "date"), "id"), config.ordering)

@@ -6,10 +6,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from newsloom.config import Config, NgramConfig, OrderingConfig
+from newsloom.config import Config, LexRankConfig, NgramConfig, OrderingConfig
 from newsloom.functions import text as T
 from newsloom.operators import ngram, order, realize, rouge, segment, stats
 from newsloom.plans import catalog
+from newsloom.plans import pipeline as P
 from newsloom.sources import files, tables
 
 CLEAN = [
@@ -181,3 +182,14 @@ def test_query_equals_sql(spark, name):
 
 def test_config_is_json():
     assert '"max_sentences": 20' in Config().to_json()
+
+
+def test_headlines_are_candidates_of_the_graph(spark):
+    sf = "/root/testdata/sf0.001"
+    tok = P.tokens(spark, sf)
+    heads = P.headline_tokens(spark, sf)
+    assert heads.count() > 0 and heads.where("sent_index <> -1").count() == 0
+    picked = P.select(tok.unionByName(heads), tables.docset(spark, sf), tables.topics(spark, sf), P.stop_words(spark, sf), Config(method="select_lexrank", max_sentences=10_000, lexrank=LexRankConfig(rounds=1)))
+    assert picked.where("sent_index = -1").count() > 0
+    with pytest.raises(ValueError):
+        P.select(tok, tables.docset(spark, sf), tables.topics(spark, sf), [], Config(method="select_lexrank", lexrank=LexRankConfig(threshold=0.1)))
