@@ -30,7 +30,7 @@ class LexRankConfig:
     threshold: float | None = None  # None: continuous
     damping: float = 0.4
     bias: bool = True
-    rounds: int = 8
+    rounds: int | None = None  # None: until it converges
 
 
 @dataclass(frozen=True)

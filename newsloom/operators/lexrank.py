@@ -6,6 +6,8 @@ p'_j = (1 - d) * x_j . (sum of p_i / rowsum_i * x_i) + d * bias_j: two aggregati
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,9 +52,9 @@ def query_bias(tokens: DataFrame, docset: DataFrame, queries: DataFrame, idf_tab
     return raw.withColumn("bias", F.try_divide(F.col("raw"), F.sum("raw").over(Window.partitionBy("topic_id"))))
 
 
-def lexrank(vectors: DataFrame, bias: DataFrame | None, damping: float = 0.4, rounds: int = 8) -> DataFrame:
-    """(topic_id, id, sent_index, score): `rounds` steps of the damped iteration from the uniform start. bias: column
-    bias by sentence, None for uniform. Lineage is cut by checkpoint() into the cluster's shared folder."""
+def lexrank(vectors: DataFrame, bias: DataFrame | None, damping: float = 0.4, rounds: int | None = 8) -> DataFrame:
+    """(topic_id, id, sent_index, score): `rounds` steps of the damped iteration from the uniform start, None: until no
+    score moves by more than 1e-5 of itself and 1e-8. bias: column bias by sentence, None for uniform. Lineage is cut by checkpoint() into the cluster's shared folder."""
     sums = row_sums(vectors)
     n = F.count("*").over(Window.partitionBy("topic_id"))
     nodes = sums.withColumn("n", n)
@@ -64,8 +66,12 @@ def lexrank(vectors: DataFrame, bias: DataFrame | None, damping: float = 0.4, ro
         nodes = nodes.withColumn("b", 1 / F.col("n"))
     nodes = cut(nodes.select(*KEY, "total", "b", (1 / F.col("n")).alias("p")))
     edges = cut(vectors.join(nodes.select(*KEY), KEY, "left_semi"))
-    for _ in range(rounds):
+    for _ in range(rounds) if rounds is not None else itertools.count():
         c = edges.join(nodes.select(*KEY, (F.col("p") / F.col("total")).alias("f")), KEY).groupBy("topic_id", "word").agg(F.sum(F.col("f") * F.col("w")).alias("c"))
         step = edges.join(c, ["topic_id", "word"]).groupBy(*KEY).agg(F.sum(F.col("w") * F.col("c")).alias("q"))
-        nodes = cut(nodes.drop("p").join(step, KEY).select(*KEY, "total", "b", ((1 - damping) * F.col("q") + damping * F.col("b")).alias("p")))
+        nodes = cut(nodes.withColumnRenamed("p", "before").join(step, KEY).select(*KEY, "total", "b", "before", ((1 - damping) * F.col("q") + damping * F.col("b")).alias("p")))
+        moved = F.abs(F.col("p") - F.col("before")) > 1e-8 + 1e-5 * F.abs("p")
+        if rounds is None and nodes.where(moved).isEmpty():
+            break
+        nodes = nodes.drop("before")
     return nodes.select(*KEY, F.col("p").alias("score"))

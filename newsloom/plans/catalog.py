@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newsloom.config import Config, LexRankConfig, NgramConfig
+from newsloom.config import Config, NgramConfig
 from newsloom.functions import rules
 from newsloom.functions import text as T
 from newsloom.operators import lexrank, ngram, order, realize, rouge, segment, stats, topics
@@ -314,7 +314,7 @@ def _stateful(name: str, config: NgramConfig):
 _stateful("sumbasic_per_article", NgramConfig())
 _stateful("lowered_per_article", NgramConfig(reweight_scheme="before_selection"))
 _stateful("forward_backward", NgramConfig(forward_backward=True))
-_stateful("sumbasic_glob", NgramConfig(grouping="glob", num_sents_per_glob=30))
+_stateful("sumbasic_glob", NgramConfig(grouping="glob"))
 
 
 # ---- graph ranking ---------------------------------------------------------------------------------------------
@@ -482,7 +482,7 @@ def summaries_ngram(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def summaries_lexrank(spark: SparkSession, d: str) -> DataFrame:
-    return P.summarize(spark, d, Config(method="select_lexrank", lexrank=LexRankConfig(rounds=4)))
+    return P.summarize(spark, d, Config(method="select_lexrank"))
 
 
 def _rouge_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -515,7 +515,7 @@ def rouge_system(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def rouge_intervals(spark: SparkSession, d: str) -> DataFrame:
-    return rouge.bootstrap(rouge.per_topic(rouge.pair_scores(*_rouge_inputs(spark, d), 1)), rounds=200)
+    return rouge.bootstrap(rouge.per_topic(rouge.pair_scores(*_rouge_inputs(spark, d), 1)))
 
 
 __all__ = ["QUERIES", "SQL", "Window"]

@@ -2,13 +2,14 @@ import datetime
 import gzip
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from newsloom.config import Config, LexRankConfig, NgramConfig, OrderingConfig
 from newsloom.functions import text as T
-from newsloom.operators import ngram, order, realize, rouge, segment, stats
+from newsloom.operators import lexrank, ngram, order, realize, rouge, segment, stats
 from newsloom.plans import catalog
 from newsloom.plans import pipeline as P
 from newsloom.sources import files, tables
@@ -193,3 +194,24 @@ def test_headlines_are_candidates_of_the_graph(spark):
     assert picked.where("sent_index = -1").count() > 0
     with pytest.raises(ValueError):
         P.select(tok, tables.docset(spark, sf), tables.topics(spark, sf), [], Config(method="select_lexrank", lexrank=LexRankConfig(threshold=0.1)))
+
+
+def test_graph_ranking_converges(spark):
+    v = spark.createDataFrame([("t", "a", 0, "x", 0.8), ("t", "a", 0, "y", 0.6), ("t", "a", 1, "x", 1.0), ("t", "b", 0, "y", 0.6), ("t", "b", 0, "z", 0.8)], "topic_id string, id string, sent_index long, word string, w double")
+    bias = spark.createDataFrame([("t", "a", 0, 0.7), ("t", "a", 1, 0.2), ("t", "b", 0, 0.1)], "topic_id string, id string, sent_index long, bias double")
+    got = {(r.id, r.sent_index): r.score for r in lexrank.lexrank(v, bias, rounds=LexRankConfig().rounds).collect()}
+    x = np.array([[0.8, 0.6, 0], [1, 0, 0], [0, 0.6, 0.8]])
+    m = x @ x.T
+    step = 0.6 * (m / m.sum(1, keepdims=True)).T
+    want = np.linalg.solve(np.eye(3) - step, 0.4 * np.array([0.7, 0.2, 0.1]))
+    assert [got["a", 0], got["a", 1], got["b", 0]] == pytest.approx(want.tolist(), rel=3e-5)
+
+
+def test_production_parameters(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(rouge, "bootstrap", lambda scores, rounds=1000, seed=7: seen.update(rounds=rounds))
+    monkeypatch.setattr(ngram, "select_stateful", lambda tok, docset, config: seen.update(glob=config.num_sents_per_glob))
+    monkeypatch.setattr(P, "summarize", lambda spark, d, config: seen.update(graph=config.lexrank.rounds))
+    for name in ("rouge_intervals", "sumbasic_glob", "summaries_lexrank"):
+        catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert seen == {"rounds": 1000, "glob": 1000, "graph": None}
