@@ -362,8 +362,14 @@ def lexrank_scores(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def lda_topics(spark: SparkSession, d: str) -> DataFrame:
-    per_article = P.tokens(spark, d).groupBy("id").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
-    return topics.topic_words(*topics.fit_topics(per_article), spark)
+    return topics.topic_words(P.tokens(spark, d), tables.docset(spark, d))
+
+
+@query()
+def topic_hits(spark: SparkSession, d: str) -> DataFrame:
+    tok, docset = P.tokens(spark, d), tables.docset(spark, d)
+    both = tok.join(docset, "id").join(topics.topic_words(tok, docset), "topic_id")
+    return both.select("topic_id", "id", "sent_index", "subtopic", topics.topic_hits(F.col("tokens"), F.col("words")).alias("hits"))
 
 
 # ---- realization -----------------------------------------------------------------------------------------------

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from newsloom.config import Config, LexRankConfig, NgramConfig, OrderingConfig
 from newsloom.functions import text as T
-from newsloom.operators import lexrank, ngram, order, realize, rouge, segment, stats
+from newsloom.operators import lexrank, ngram, order, realize, rouge, segment, stats, topics
 from newsloom.plans import catalog
 from newsloom.plans import pipeline as P
 from newsloom.sources import files, tables
@@ -215,3 +215,13 @@ def test_production_parameters(spark, monkeypatch):
     for name in ("rouge_intervals", "sumbasic_glob", "summaries_lexrank"):
         catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert seen == {"rounds": 1000, "glob": 1000, "graph": None}
+
+
+def test_subtopics_of_each_topic(spark):
+    sides = {"p": ["ash bay cod"] * 6 + ["elm fig gum"] * 6, "q": ["hay ivy jam"] * 6 + ["kit log mud"] * 6}
+    rows = [(f"{t}{i}", 0, (x + " ").split() * 9) for t, xs in sides.items() for i, x in enumerate(xs)]
+    tok = spark.createDataFrame(rows, "id string, sent_index long, tokens array<string>")
+    got = topics.topic_words(tok, tok.select(F.substring("id", 1, 1).alias("topic_id"), "id"), n=3).collect()
+    assert sorted((r.topic_id, r.subtopic) for r in got) == [("p", 0), ("p", 1), ("q", 0), ("q", 1)]
+    assert {(r.topic_id, " ".join(sorted(r.words.split()))) for r in got} == {(t, x) for t, xs in sides.items() for x in xs}
+    assert "topic_hits" in catalog.QUERIES
