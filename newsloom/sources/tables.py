@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.operators.storage import one_of_each
+
 #: Corpora by year: a year claimed twice goes to the corpus of the higher rank.
 CORPORA = [("A", 0, 1996, 2000), ("B", 1, 2004, 2006), ("C", 2, 2006, 2008)]
 
@@ -14,10 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each id; a delivery repeated has the same date, headline and paragraphs. The number of partitions is
-    kept: what follows is heavy on the processor, not on bytes, and would else be coalesced into few tasks."""
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return table(spark, sf_dir, "articles").where("id is not null").select("id", "date", "headline", "paragraphs").repartition(n, "id").dropDuplicates(["id"])
+    """One row for each id; a delivery repeated has the same date, headline and paragraphs."""
+    return one_of_each(table(spark, sf_dir, "articles"), "id", ["date", "headline", "paragraphs"])
 
 
 def docset(spark: SparkSession, sf_dir: str) -> DataFrame:
