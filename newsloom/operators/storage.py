@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most repeated keys that are sent to all tasks (about 40 bytes each); with more of them the rows are shuffled.
@@ -59,7 +59,7 @@ def in_files(df: DataFrame) -> bool:
     return any("row_index" in hidden.apply(i).dataType().simpleString() for i in range(hidden.size()))
 
 
-def one_of_each(df: DataFrame, key: str, columns: list[str], most: int = MOST_REPEATED) -> DataFrame:
+def one_of_each(df: DataFrame, key: str, columns: list[str | Column], most: int = MOST_REPEATED) -> DataFrame:
     """One row (key, *columns) for each non-null key; rows of a key are taken to be equal in these columns.
 
     Only keys and places of rows are shuffled: of a key that comes again the row with the least hash of its place is
@@ -68,6 +68,7 @@ def one_of_each(df: DataFrame, key: str, columns: list[str], most: int = MOST_RE
     """
     spark = df.sparkSession
     rows = df.where(F.col(key).isNotNull())
+    names = rows.select(key, *columns).columns
     if not in_files(df):
         return rows.select(key, *columns).dropDuplicates([key])
     place = F.xxhash64("_metadata.file_path", "_metadata.row_index")
@@ -76,8 +77,21 @@ def one_of_each(df: DataFrame, key: str, columns: list[str], most: int = MOST_RE
     if repeated.limit(most + 1).count() > most:
         return rows.select(key, *columns).dropDuplicates([key])
     once = rows.select(key, *columns, place.alias("_at")).join(F.broadcast(repeated), F.col(key) == F.col("_key"), "left")
-    out = once.where("_key is null or _at = _kept").select(key, *columns)
+    out = once.where("_key is null or _at = _kept").select(*names)
     cores = spark.sparkContext.defaultParallelism
     if df.select(key)._jdf.queryExecution().toRdd().getNumPartitions() < cores:
         out = out.repartition(cores, key)
     return out
+
+
+def with_numbers(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """one_of_each with a column number: file << 40 | row, where file counts the sorted paths of df and row the rows of a
+    file. The number stays the same however tasks are cut or repeated, and files added later by name leave it as it is.
+    Rows that aren't in files are written first."""
+    if not in_files(df):
+        df = written(df.select(key, *columns), "numbered")
+    plain = lambda path: F.regexp_replace(path, r"^([a-z0-9]+):/+", "$1:/")
+    files = df.sparkSession.createDataFrame([(p, i) for i, p in enumerate(sorted(df.inputFiles()))], "_file string, _ordinal long")
+    out = one_of_each(df, key, [*columns, F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_row")])
+    found = F.coalesce("_ordinal", F.raise_error(F.concat(F.lit("unknown file "), F.col("_path"))).cast("long"))
+    return out.join(F.broadcast(files), plain("_path") == plain("_file"), "left").select(key, *columns, (F.shiftleft(found, 40) + F.col("_row")).alias("number"))
