@@ -7,15 +7,15 @@ from lookup tables, and runs, hashes and counts are computed for the whole batch
 from __future__ import annotations
 
 import functools
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from newsloom.operators.storage import folder, one_of_each, remove, with_numbers, written
+
+__all__ = ["folder", "one_of_each", "remove", "with_numbers", "written"]
 
 #: Characters handled at once; bounds the memory of one Python worker (about 60 bytes a character).
 CHUNK_CHARS = 1_000_000
@@ -28,30 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def distinct_articles(articles: DataFrame) -> DataFrame:
-    """One row (id, headline, paragraphs) for each non-null id.
+def distinct_articles(articles: DataFrame, columns: tuple[str, ...] = ("headline", "paragraphs")) -> DataFrame:
+    """One row (id, *columns) for each non-null id; extra columns are dropped before anything is moved.
 
     An id that is delivered again has the same text, so any row of it serves; rows with a null id are left out.
-    Extra columns are dropped before the shuffle.
     """
-    return articles.where(F.col("id").isNotNull()).select("id", "headline", "paragraphs").dropDuplicates(["id"])
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only where spark.checkpoint.dir is unset (tests) a local one is made."""
-    at = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="newsloom-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a table written to the shared folder: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return one_of_each(articles, "id", list(columns))
 
 
 @functools.cache

@@ -1,15 +1,19 @@
 """Near-duplicate records by a chosen-path set similarity join.
 
 A record is the set of SHINGLE-character substrings of its normalised text. Sets become signatures of minwise tokens
-(one-permutation hashing with densification). In each of some independent trees a node branches its records by two
-places of the signature chosen for its path, so two records of similarity s stay together on a path with probability s
-a place; there are as many trees as RECALL asks for at the threshold; small nodes are compared exhaustively by their signatures, and the pairs that may reach the threshold are
-checked exactly on their texts. The upper levels of a tree, chosen so that a node holds about NODE_ROWS unrelated
-records, are one shuffle; the lower ones are branched inside the task that gets the node.
+(one-permutation hashing with densification). In each of some independent trees a node branches its records by minwise
+tokens that are chosen for its path, until it is small; small nodes are compared exhaustively by their signatures, and
+the pairs that may reach the threshold are checked exactly on their texts.
+
+The upper part of a tree is a shuffle: a record goes down one path, and only nodes that hold more than NODE_ROWS records,
+as counted, are branched on. What is sent of a record is a copy a tree, and a node of depth d needs trees_for(d) trees,
+so copies follow the depth that the collection needs where the record lies. Which nodes are too big is sent to the tasks
+as a bitmap. Inside a task each node is branched twice a level, in INNER trees of its own. Nodes that stay too big (their
+records are alike in all tokens chosen) are cut into blocks, and each two blocks are one node.
 
 Copies (equal normalised texts) are first reduced to one representative. Links between different texts are reported
-for all their members; copies among themselves all with all in classes of up to PAIRED, else each with the
-representative.
+for all their members; copies among themselves all with all in classes of up to `paired`, else each with the
+representative; near_duplicates returns links and membership, from which any form follows.
 
 Defined results: null headlines count as empty, null paragraphs are left out, texts under SHINGLE characters are in
 no pair; ids that come again count once; null ids are left out.
@@ -34,17 +38,26 @@ THRESHOLD = 0.6
 PLACES = 64
 #: Bins of the one-permutation hashing; PLACES of them are kept.
 BINS = 128
-#: Expected share of the pairs at the threshold that must be found, in nodes of any depth up to LEVELS.
+#: Expected share of the pairs at the threshold that must be found, at any depth.
 RECALL = 0.99
+#: Records of a node that one task compares; a node with more is branched by one more shuffled level.
+NODE_ROWS = 300_000
+#: Most shuffled levels; nodes still too big after them are cut into blocks.
+OUTER_LEVELS = 6
+#: Trees in each node inside a task, their levels, and the records of a node from which it isn't branched any more.
+INNER = 3
 LEVELS = 7
-#: Nodes of at most so many records are compared exhaustively.
 SMALL = 40
-#: Similarity of unrelated records that the number of shuffled levels is planned for.
-UNRELATED = 0.15
-NODE_ROWS = 50_000
+#: Entries of nodes that a task branches at once.
+MOST_ENTRIES = 1_000_000
+#: Bits of the bitmap of big nodes: this many for each node that may be big; bounded by MOST_BITS (128 MB).
+BITS_A_NODE = 8
+MOST_BITS = 1 << 30
 #: A pair is checked exactly if its signatures agree in at least this share of places: 3.5 standard deviations
 #: of 64 places below the threshold.
 AGREE = 0.6 - 3.5 * math.sqrt(0.6 * 0.4 / PLACES)
+#: Most ids of candidates that are sent to all tasks to pick their texts; with more the texts are joined unpicked.
+MOST_PICKED = 1_000_000
 PAIRED = 20
 
 SIGNATURES = "id string, h1 long, h2 long, sig binary"
@@ -130,12 +143,13 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def survival(share: float, depth: int) -> float:
-    """Chance that a pair whose signatures agree in this share of places is together in a node at a tree's depth: each
-    node has two branches by places of its own, so a pair is lost only where all its paths are."""
+    """Chance that a pair whose signatures agree in this share of places is compared in one tree: it must stay together
+    on a path of `depth` levels, then in one of INNER trees, where each node has two branches and a pair is lost only
+    where all its paths are."""
     q = 1.0
-    for _ in range(depth):
+    for _ in range(LEVELS):
         q = 1 - (1 - share * q) ** 2
-    return q
+    return share**depth * (1 - (1 - q) ** INNER)
 
 
 def recall(similarity: float, depth: int, trees: int) -> float:
@@ -146,44 +160,170 @@ def recall(similarity: float, depth: int, trees: int) -> float:
 
 @functools.cache
 def trees_for(depth: int, target: float = RECALL) -> int:
-    """Fewest trees that reach the target at the threshold."""
-    return next(n for n in range(1, 200) if recall(THRESHOLD, depth, n) >= target)
+    """Fewest trees that reach the target at the threshold, for nodes of a depth. Pairs whose nodes differ in depth from
+    tree to tree reach it, too: a node of depth d contributes as much as one of trees_for(d)."""
+    n = 1
+    while recall(THRESHOLD, depth, n) < target:
+        n += 1
+    return n
 
 
 @functools.cache
-def places(trees: int, levels: int) -> np.ndarray:
-    """For each path code the two places its nodes branch by, none that the path has used. Roots have the codes trees
-    to 2 * trees - 1, the children of code c are 2 * c and 2 * c + 1."""
-    out = np.zeros((trees << levels, 2), np.int64)
-    for code in range(trees, trees << levels):
-        used, at = set(), code
-        while at >= 2 * trees:
-            used.add(int(out[at >> 1, at & 1]))
-            at >>= 1
-        order = np.argsort(mix(np.arange(PLACES) + 1_000 * (code + 1)))
-        out[code] = [p for p in order.tolist() if p not in used][:2]
-    return out
+def order_of(tree: int) -> np.ndarray:
+    """The places by which a tree branches, level by level."""
+    return np.argsort(mix(np.arange(PLACES) + 1_000 * (tree + 1)))
+
+
+def _branch(key: np.ndarray, place: np.ndarray | int, value: np.ndarray) -> np.ndarray:
+    return mix(mix(key) ^ (np.asarray(place, np.uint64) * np.uint64(256) + value.astype(np.uint64)))
+
+
+def _root(tree: int, n: int) -> np.ndarray:
+    return np.full(n, tree + 1, np.uint64)
+
+
+def _sigs(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch["sig"].to_pylist()), np.uint8).reshape(-1, PLACES)
+
+
+class Plan:
+    """Which nodes are branched on: a bitmap for each level, over hashes of nodes. Two nodes that share a bit count as
+    one; then both are branched on, which costs a level and loses nothing."""
+
+    def __init__(self, bits: int, levels: int = OUTER_LEVELS):
+        self.bits, self.levels, self.big, self.depth = bits, levels, {}, 1
+
+    def is_big(self, level: int, key: np.ndarray) -> np.ndarray:
+        at = (key & np.uint64(self.bits - 1)).astype(np.int64)
+        return (self.big[level][at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool) if level in self.big else np.zeros(len(key), bool)
+
+    def blocks(self, key: np.ndarray) -> np.ndarray:
+        """Into how many blocks nodes of the last level are cut: a power of two; entry levels + c: nodes of more than 2**c
+        times the records of a node."""
+        out = np.ones(len(key), np.int64)
+        for level in sorted(k for k in self.big if k >= self.levels):
+            out = np.where(self.is_big(level, key), 4 << (level - self.levels), out)
+        return out
 
+    def ends(self, sig: np.ndarray, tree: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(depth, records, nodes) at which the records end in a tree."""
+        rows, key = np.arange(len(sig)), _root(tree, len(sig))
+        for level in range(1, self.depth + 1):
+            place = int(order_of(tree)[level - 1])
+            key = _branch(key, place, sig[rows, place])
+            on = self.is_big(level, key) if level < self.depth else np.zeros(len(rows), bool)
+            yield level, rows[~on], key[~on]
+            rows, key = rows[on], key[on]
 
-def _branch(key: np.ndarray, place: np.ndarray, value: np.ndarray) -> np.ndarray:
-    return mix(mix(key) ^ (place.astype(np.uint64) * np.uint64(256) + value.astype(np.uint64)))
+
+def _count_nodes(plan: Plan, level: int, trees: range):
+    """(bit, n): records of the nodes of a level, by the bit that stands for the node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            at = np.concatenate([k for k, _ in kept])
+            bit, place = np.unique(at, return_inverse=True)
+            return bit, np.bincount(place, weights=np.concatenate([n for _, n in kept])).astype(np.int64)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sig = _sigs(batch)
+            for tree in trees:
+                for depth, _, key in plan.ends(sig, tree):
+                    if depth == level and len(key):
+                        bit, n = np.unique(key & np.uint64(plan.bits - 1), return_counts=True)
+                        kept.append((bit.astype(np.int64), n))
+            if sum(len(k) for k, _ in kept) > 500_000:
+                kept = [merged()]
+        if kept:
+            bit, n = merged()
+            yield pa.RecordBatch.from_arrays([pa.array(bit), pa.array(n)], names=["bit", "n"])
+
+    return run
+
+
+def _bitmap(counts: DataFrame, more_than: int, bits: int) -> np.ndarray | None:
+    """Bits of counts above a bound, put together by the executors in pieces of 4 KB."""
+    at = F.col("bit") + 1
+    parts = counts.where(F.col("n") > more_than).groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("b")).collect()
+    if not parts:
+        return None
+    out = np.zeros(max(bits // 8, 4096), np.uint8)
+    for r in parts:
+        out[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(r.b, np.uint8)
+    return out
 
 
-def _paths(levels: int, trees: int):
-    """Rows (node, path, id, sig) of the nodes that each record reaches after `levels` levels of each tree."""
+def plan_nodes(reps: DataFrame, total: int, node_rows: int = NODE_ROWS, levels: int = OUTER_LEVELS) -> Plan:
+    """Counts the nodes level by level, and branches on those of more than node_rows records."""
+    bits = 1 << 16
+    while bits < BITS_A_NODE * total * trees_for(levels) // node_rows:
+        bits *= 2
+    if bits > MOST_BITS:
+        raise ValueError("too many records for the bitmap of big nodes; raise NODE_ROWS")
+    plan = Plan(bits, levels)
+
+    def count(level: int, trees: range) -> DataFrame:
+        at = Plan(bits, levels)
+        at.big, at.depth = dict(plan.big), level
+        parts = reps.select("sig").mapInArrow(_count_nodes(at, level, trees), "bit long, n long")
+        return written(parts.groupBy("bit").agg(F.sum("n").alias("n")), "nodes")
+
+    def add(level: int, more: np.ndarray | None) -> bool:
+        if more is not None:
+            plan.big[level] = plan.big[level] | more if level in plan.big else more
+        return more is not None
+
+    done: dict[int, int] = {}
+    while True:
+        deeper = False
+        for level in range(1, plan.depth + 1):
+            trees = range(done.get(level, 0), trees_for(plan.depth))
+            counts = count(level, trees)
+            if level < levels:
+                more = add(level, _bitmap(counts, node_rows, bits))
+                deeper = deeper or more
+            else:
+                c = 0
+                while add(levels + c, _bitmap(counts, node_rows << c, bits)):
+                    c += 1
+            done[level] = trees.stop
+        if not (deeper and plan.depth in plan.big) or plan.depth == levels:
+            return plan
+        plan.depth += 1
+
+
+NODES = "node long, tree int, id string, sig binary"
+
+
+def _paths(plan: Plan):
+    """Rows (node, tree, id, sig): each record in the node where it ends in each tree that its depth needs."""
+    trees = trees_for(plan.depth)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = places(trees, LEVELS)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(batch["sig"].to_pylist()), np.uint8).reshape(-1, PLACES)
-            for tree in range(trees, 2 * trees):
-                nodes = [(tree, np.full(len(sig), tree, np.uint64))]
-                for _ in range(levels):
-                    nodes = [(2 * c + b, _branch(k, table[c, b], sig[:, table[c, b]])) for c, k in nodes for b in (0, 1)]
-                for c, k in nodes:
-                    yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(np.full(len(sig), c, np.int32)), batch["id"], batch["sig"]], names=["node", "path", "id", "sig"])
+            sig = _sigs(batch)
+            text = batch["h1"].to_numpy().view(np.uint64)
+            for tree in range(trees):
+                for depth, rows, key in plan.ends(sig, tree):
+                    if not len(rows) or tree >= trees_for(depth):
+                        continue
+                    if depth == plan.levels:
+                        n = plan.blocks(key)
+                        copies = np.maximum(n - 1, 1)
+                        at = np.repeat(np.arange(len(rows)), copies)
+                        mine = (mix(text[rows[at]]) % n[at].astype(np.uint64)).astype(np.int64)
+                        other = np.arange(len(at)) - np.repeat(np.cumsum(copies) - copies, copies)
+                        other += other >= mine  # all blocks but its own
+                        pair = np.where(n[at] > 1, (np.minimum(mine, other) << 32) + np.maximum(mine, other) + 1, 0)
+                        rows, key = rows[at], np.where(pair > 0, mix(key[at] ^ mix(pair)), key[at])
+                    take = pa.array(rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(rows), tree, np.int32)), batch["id"].take(take), batch["sig"].take(take)], names=["node", "tree", "id", "sig"])
 
     return run
 
@@ -205,37 +345,41 @@ def _agreeing(sig: np.ndarray, members: np.ndarray, bounds: np.ndarray) -> Itera
         start = stop
 
 
-def node_pairs(sig: np.ndarray, node: np.ndarray, path: np.ndarray, level: int, trees: int) -> np.ndarray:
+def node_pairs(sig: np.ndarray, node: np.ndarray, tree: np.ndarray) -> np.ndarray:
     """Candidate pairs (row, row) of some nodes, which are branched on until they are small."""
     out = [np.zeros((0, 2), np.int64)]
-    rows, table = np.arange(len(sig)), places(trees, LEVELS)
-    while len(rows):
+    stack = [(np.arange(len(sig)), node, mix(tree.astype(np.uint64) * np.uint64(INNER) + np.uint64(k)), 0) for k in range(INNER)]
+    while stack:
+        rows, node, path, level = stack.pop()
         order = np.argsort(node, kind="stable")
         rows, node, path = rows[order], node[order], path[order]
         first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
         size = np.diff(np.concatenate((first, [len(rows)])))
         small = (size <= SMALL) | (level >= LEVELS)
-        for pick in np.flatnonzero(small & (size > 1)),:
-            if len(pick):
-                members = np.concatenate([rows[first[i] : first[i] + size[i]] for i in pick])
-                bounds = np.concatenate(([0], np.cumsum(size[pick])))
-                out += _agreeing(sig, members, bounds)
+        pick = np.flatnonzero(small & (size > 1))
+        if len(pick):
+            keep = np.zeros(len(size), bool)
+            keep[pick] = True
+            members = rows[np.repeat(keep, size)]
+            out += _agreeing(sig, members, np.concatenate(([0], np.cumsum(size[pick]))))
         go = np.repeat(~small, size)
         rows, node, path = rows[go], node[go], path[go]
         if len(rows):
-            at = [table[path, b] for b in (0, 1)]
-            node = np.concatenate([_branch(node, p, sig[rows, p]) for p in at])
-            rows, path = np.tile(rows, 2), np.concatenate([2 * path, 2 * path + 1])
-        level += 1
+            one = mix(path) % np.uint64(PLACES)
+            two = (one + np.uint64(1) + mix(path ^ np.uint64(77)) % np.uint64(PLACES - 1)) % np.uint64(PLACES)
+            parts = [(rows, _branch(node, p, sig[rows, p.astype(np.int64)]), mix(path * np.uint64(2) + np.uint64(b)), level + 1) for b, p in enumerate((one, two))]
+            if 2 * len(rows) <= MOST_ENTRIES:
+                parts = [(*(np.concatenate(x) for x in zip(*(p[:3] for p in parts))), level + 1)]
+            stack += parts
     return np.unique(np.concatenate(out), axis=0)
 
 
-def _join_nodes(levels: int, trees: int):
+def _join_nodes():
     """Candidate pairs of the nodes of a task; input sorted by node, one block of whole nodes is held."""
 
-    def one(node: list[np.ndarray], path: list[np.ndarray], ids: list[pa.Array], sig: list[np.ndarray]) -> pa.RecordBatch:
+    def one(node: list[np.ndarray], tree: list[np.ndarray], ids: list[pa.Array], sig: list[np.ndarray]) -> pa.RecordBatch:
         names = pa.chunked_array(ids, pa.string()).combine_chunks()
-        pairs = node_pairs(np.concatenate(sig), np.concatenate(node), np.concatenate(path), levels, trees)
+        pairs = node_pairs(np.concatenate(sig), np.concatenate(node), np.concatenate(tree))
         return pa.RecordBatch.from_arrays([names.take(pa.array(pairs[:, 0])), names.take(pa.array(pairs[:, 1]))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,8 +389,7 @@ def _join_nodes(levels: int, trees: int):
             if not batch.num_rows:
                 continue
             node = batch["node"].to_numpy().view(np.uint64)
-            sig = np.frombuffer(b"".join(batch["sig"].to_pylist()), np.uint8).reshape(-1, PLACES)
-            part = (node, batch["path"].to_numpy().astype(np.int64), batch["id"], sig)
+            part = (node, batch["tree"].to_numpy().astype(np.int64), batch["id"], _sigs(batch))
             if rows > 20_000:
                 cut = np.searchsorted(node != held[0][-1][-1], True) if (node != held[0][-1][-1]).any() else len(node)
                 for h, p in zip(held, part):
@@ -301,39 +444,43 @@ def _check(threshold: float):
     return run
 
 
-def near_duplicates(articles: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(articles: DataFrame, threshold: float = THRESHOLD, node_rows: int = NODE_ROWS, levels: int = OUTER_LEVELS) -> tuple[DataFrame, DataFrame]:
     """Links between different texts (a, b, similarity), a < b, and members (id, representative) of all records with
     a text; a representative is the smallest id of its copies."""
+    spark = articles.sparkSession
     docs = distinct_articles(articles)
     signed = written(docs.mapInArrow(_sign, SIGNATURES), "signatures")
-    heads = signed.groupBy("h1", "h2").agg(F.min_by("sig", "id").alias("sig"), F.min("id").alias("id"), F.count("*").alias("n"))
-    reps = heads.select("id", "sig")
-    total = signed.count()
-    levels = max(1, math.ceil(math.log(max(1.0, total / NODE_ROWS)) / -math.log(UNRELATED)))
-    levels = min(levels, LEVELS)
-    trees = trees_for(LEVELS)  # crowded nodes are branched to the last level, whatever the collection's size
-    nodes = reps.mapInArrow(_paths(levels, trees), "node long, path int, id string, sig binary")
-    pairs = nodes.repartition("node").sortWithinPartitions("node").mapInArrow(_join_nodes(levels, trees), "a string, b string")
-    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    heads = written(signed.groupBy("h1", "h2").agg(F.min_by("sig", "id").alias("sig"), F.min("id").alias("id"), F.count("*").alias("n")), "heads")
+    plan = plan_nodes(heads, heads.count(), node_rows, levels)
+    nodes = heads.select("id", "h1", "sig").mapInArrow(_paths(plan), NODES)
+    pairs = nodes.repartition("node").sortWithinPartitions("node").mapInArrow(_join_nodes(), "a string, b string")
+    pairs = written(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
     text = F.concat_ws(" ", F.coalesce("headline", F.lit("")), F.array_compact(F.coalesce("paragraphs", F.array().cast("array<string>"))))
     texts = docs.select("id", text.alias("text"))
-    one = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a")
-    both = one.join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b").select("a", "b", "text_a", "text_b")
+    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    if wanted.limit(MOST_PICKED + 1).count() <= MOST_PICKED:
+        texts = texts.join(F.broadcast(wanted), "id", "left_semi")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts = texts.repartition(n, "id")  # one exchange for both sides
+    one = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}).hint("merge"), "a")
+    both = one.join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}).hint("merge"), "b").select("a", "b", "text_a", "text_b")
     links = both.mapInArrow(_check(threshold), "a string, b string, similarity double")
     copies = heads.where("n > 1").select("h1", "h2", F.col("id").alias("representative"))
     members = signed.select("id", "h1", "h2").join(copies, ["h1", "h2"], "left").select("id", F.coalesce("representative", "id").alias("representative"))
     return links, members
 
 
-def all_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
-    """(id_a, id_b): the links for all members of their classes, and the copies."""
+def all_pairs(links: DataFrame, members: DataFrame, paired: int | None = PAIRED) -> DataFrame:
+    """(id_a, id_b): the links for all members of their classes, and the copies: all with all in classes of up to `paired`
+    (None: in all), else each with the representative."""
     sizes = members.groupBy("representative").agg(F.count("*").alias("n"))
     copies = members.join(sizes.where("n > 1"), "representative").select("representative", "id", "n")
     a = copies.select(F.col("representative").alias("a"), F.col("id").alias("ma"))
     b = copies.select(F.col("representative").alias("b"), F.col("id").alias("mb"))
     full = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ma", "a").alias("x"), F.coalesce("mb", "b").alias("y"))
     star = copies.where("id <> representative").select(F.col("representative").alias("x"), F.col("id").alias("y"))
-    few = copies.where((F.col("n") <= PAIRED) & (F.col("id") != F.col("representative")))
+    few = copies.where(F.col("id") != F.col("representative"))
+    few = few if paired is None else few.where(F.col("n") <= paired)
     rest = few.alias("l").join(few.alias("r"), "representative").where("l.id < r.id").select(F.col("l.id").alias("x"), F.col("r.id").alias("y"))
     out = full.unionByName(star).unionByName(rest)
     return out.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))

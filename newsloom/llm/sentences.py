@@ -1,10 +1,11 @@
-"""Sentence boundaries across languages and scripts by the abbreviations of the collection, then of the document.
+"""Sentence boundaries across languages and scripts by document-centred disambiguation.
 
-Whether a full stop after a word ends a sentence is decided from unambiguous occurrences: a word followed by
-".", a blank and a lower-case word is an abbreviation there; a capitalised word whose lower-case form stands
-elsewhere in the same document is a common word, so a capital after a stop marks a beginning. The counts of the
-whole collection come first (`abbreviation_evidence`, one pass and one aggregation); where they are silent, the
-document decides: after an abbreviation of its own only a word it shows to be common begins a sentence. Scripts without blanks or with stops of their own have terminator rules of their own.
+Whether a full stop between two words ends a sentence is first asked of the document: a word that stands there with a
+stop before a lower-case word, and nowhere without one, is an abbreviation; a word that stands inside a sentence without
+a stop is none; after an abbreviation a word that the document also has in lower case begins a sentence, one it has
+capitalised inside a sentence is a name. Where the document is silent the collection answers, by what follows each word
+with a stop over all documents (`abbreviation_evidence`, one pass and one aggregation); a short list answers last.
+Scripts without blanks or with stops of their own have terminator rules of their own.
 
 Defined results: null and blank paragraphs have no sentence; a paragraph without a stop is one sentence; an
 article with null paragraphs has no row; ids that come again give one set of rows; null ids are left out.
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.common import distinct_articles, table, written
 
-#: Most abbreviations that are sent to all tasks. Candidates beyond it have the least evidence in the collection
-#: and fall back on their own document's evidence.
+#: Most abbreviations of the collection that are sent to all tasks, those with the most evidence; the others are joined
+#: to the documents that hold them.
 MOST_ABBREVIATIONS = 50_000
 #: Least share of lower-case followers from which a word with a stop is an abbreviation.
 LOWER_SHARE = 0.15
@@ -52,6 +53,7 @@ _WIDE = frozenset("。！？｡")
 _THAI_GAP = re.compile(r"(?<=[฀-฾เ-๏๚-๿]) +(?=[฀-฾เ-๏๚-๿])")
 _DATELINE = re.compile(r"[A-Z][A-Z'’. -]+(?:, [^_\n]{1,40}?)?\s*(?:\([^)]{1,30}\)\s*)?(?:--|_|—|–)\s")
 _FOLLOW = re.compile(r"(?<![^\s(“„«\"`\[])[(“„«\"`\[]*(\S{1,14})\.\s+(\S+)")
+_STOPPED = re.compile(r"(\S{1,14})\.")
 _LEAD = "(“„«\"`'‘[¿¡’"
 _DEVANAGARI = re.compile(r"[ऀ-ॿ]")
 
@@ -136,7 +138,7 @@ def abbreviation_evidence(articles: DataFrame) -> DataFrame:
     """(lang, word, lower, common, other, plain, lower_docs, capital_docs): what follows each word with a stop, over all
     articles, an id that comes again counted once; plain: how often the document also has the word without a stop;
     lower_docs, capital_docs: documents in which a lower-case word, another word follows."""
-    return _evidence_of_distinct(distinct_articles(articles.withColumn("headline", F.lit(None).cast("string"))))
+    return _evidence_of_distinct(distinct_articles(articles, ("paragraphs",)))
 
 
 def _evidence_of_distinct(documents: DataFrame) -> DataFrame:
@@ -148,35 +150,61 @@ def _evidence_of_distinct(documents: DataFrame) -> DataFrame:
     )
 
 
-def abbreviations(evidence: DataFrame, most: int = MOST_ABBREVIATIONS) -> dict[tuple[str, str], bool]:
-    """Abbreviations of the collection: (lang, word) -> may it end a sentence? Bounded by `most`."""
+def abbreviation_table(evidence: DataFrame) -> DataFrame:
+    """(lang, word, ends, n): abbreviations of the collection; ends: may one end a sentence? n: the evidence."""
     capital = F.col("common") + F.col("other")
     lower = (F.col("lower_docs") >= LEAST_LOWER) & (F.col("lower") >= LOWER_SHARE * (F.col("lower") + capital))
     never = (F.col("common") <= NEVER_SHARE * capital) & (((F.col("capital_docs") >= LEAST_FOLLOWERS) & ((F.col("plain") <= PLAIN_SHARE * capital) | (F.length("word") == 1) | (F.col("word") == "##"))) | lower)
-    rows = evidence.where(lower | never).select("lang", "word", (~never).alias("ends")).orderBy(F.desc(F.col("lower") + capital), "lang", "word").limit(most).collect()
+    return evidence.where(lower | never).select("lang", "word", (~never).alias("ends"), (F.col("lower") + capital).alias("n"))
+
+
+def abbreviations(evidence: DataFrame, most: int = MOST_ABBREVIATIONS) -> dict[tuple[str, str], bool]:
+    """(lang, word) -> may it end a sentence? Of the `most` abbreviations with the most evidence."""
+    rows = abbreviation_table(evidence).orderBy(F.desc("n"), "lang", "word").limit(most).collect()
     return {(r.lang, r.word): r.ends for r in rows}
 
 
 class Splitter:
     """Splits the paragraphs of one article."""
 
-    def __init__(self, lang: str, texts: list[str], known: dict[tuple[str, str], bool]):
-        self.lang, self.texts, self.known = lang, texts, known
+    def __init__(self, lang: str, texts: list[str], known: dict[tuple[str, str], bool], more: dict[str, bool] | None = None):
+        self.lang, self.texts, self.known, self.more = lang, texts, known, more
         self._words: tuple[set[str], set[str]] | None = None
-        self._own: set[str] | None = None
+        self._shown: tuple[set[str], set[str], set[str]] | None = None
 
-    def common(self, word: str) -> bool:
+    def vocabulary(self) -> tuple[set[str], set[str]]:
         if self._words is None:
             self._words = _vocabulary(self.texts)
-        return _is_common(word, *self._words)
+        return self._words
 
-    def own_abbreviation(self, word: str) -> bool:
-        """Does the document itself show the word with a stop before a lower-case word, and nowhere without a stop?"""
-        if self._own is None:
-            if self._words is None:
-                self._words = _vocabulary(self.texts)
-            self._own = {x for t in self.texts for m in _FOLLOW.finditer(t) if _is_lower(m[2]) and (x := _word(m[1]))} - self._words[0]
-        return word in self._own
+    def common(self, word: str) -> bool:
+        return _is_common(word, *self.vocabulary())
+
+    def shown(self) -> tuple[set[str], set[str], set[str]]:
+        """Unambiguous occurrences in the document: abbreviations (a lower-case word follows the stop), words inside a
+        sentence without a stop, and names (capitalised after a lower-case word)."""
+        if self._shown is None:
+            plain, names = set(), set()
+            for t in self.texts:
+                parts = t.split()
+                for a, b, c in zip(parts, parts[1:], parts[2:] + [""]):
+                    if a[-1].islower() and b[-1].isalpha():
+                        if b[0].isupper():
+                            names.add(b)
+                        if c and _is_lower(c):
+                            plain.add(b)
+            short = {x for t in self.texts for m in _FOLLOW.finditer(t) if _is_lower(m[2]) and (x := _word(m[1]))}
+            self._shown = short, plain, names
+        return self._shown
+
+    def of_collection(self, forms: list[str]) -> bool | None:
+        for w in forms:
+            ends = self.known.get((self.lang, w))
+            if ends is None and self.more:
+                ends = self.more.get(w)
+            if ends is not None:
+                return ends
+        return None
 
     def stop_ends(self, x: str, y: str) -> bool:
         """Does "x. y" hold a boundary? y begins with something else than a lower-case letter."""
@@ -186,17 +214,24 @@ class Splitter:
         if _DEVANAGARI.match(x):
             return False  # the danda ends sentences there, the full stop marks abbreviations
         forms = [x, x[2:]] if len(x) > 2 and x[1] in "’'" else [x]  # an article may be elided before it
-        ends = next((e for w in forms if (e := self.known.get((self.lang, w))) is not None), None)
-        if ends is None:
-            if len(x) == 1 and x.isalpha() or x in BEFORE_NAMES:
-                ends = False
-            elif any(map(self.own_abbreviation, forms)):
-                return self.common(y)
-            else:
-                return True
-        if ends:
-            return True
-        return x == "##" and self.common(y)
+        ends = self.of_collection(forms)
+        if x == "##":
+            return ends is not False or self.common(y)
+        initial = len(x) == 1 and x.isalpha()
+        short, plain, names = self.shown()
+        own = not initial and any(w in short and w not in self.vocabulary()[0] for w in forms)
+        if not own and not initial and any(w in plain and w not in short for w in forms):
+            return True  # a word of the document, no abbreviation
+        if not own and ends is None and not initial and x not in BEFORE_NAMES:
+            return True  # nothing speaks for an abbreviation
+        z = y.strip(_LEAD + ",.;:!?)]}”»")
+        if len(z) > 1 and z.lower() != z and z.lower() in self.vocabulary()[0]:
+            return True  # an abbreviation before a common word
+        if ends is not None and not (own and not ends and z not in names):
+            return ends
+        if initial or x in BEFORE_NAMES:
+            return False
+        return z not in names and self.common(y)
 
     def split(self, text: str) -> list[tuple[int, int]]:
         """Sentences of one paragraph as (start, end)."""
@@ -327,11 +362,12 @@ def _split_batches(known: dict[tuple[str, str], bool]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, no, start, end = [], [], [], []
-            for i, ps in zip(batch["id"].to_pylist(), batch["paragraphs"].to_pylist()):
+            more = batch["more"].to_pylist() if "more" in batch.schema.names else [None] * batch.num_rows
+            for i, ps, own in zip(batch["id"].to_pylist(), batch["paragraphs"].to_pylist(), more):
                 texts = _texts(ps)
                 if not texts:
                     continue
-                splitter = Splitter(language(i), texts, known)
+                splitter = Splitter(language(i), texts, known, dict(own) if own else None)
                 for k, p in enumerate(ps):
                     if p:
                         for a, b in splitter.split(p):
@@ -344,13 +380,32 @@ def _split_batches(known: dict[tuple[str, str], bool]):
     return run
 
 
-def split_sentences(articles: DataFrame, known: dict[tuple[str, str], bool] | None = None) -> DataFrame:
-    """(id, para_no, start_pos, end_pos) of every sentence; known: the collection's abbreviations, else learned here."""
+def _held_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, lang, word): the words with a stop of each article, in the forms they are asked for."""
+    for batch in batches:
+        rows = set()
+        for i, ps in zip(batch["id"].to_pylist(), batch["paragraphs"].to_pylist()):
+            for t in _texts(ps):
+                for m in _STOPPED.finditer(t):
+                    x = _word(m[1])
+                    rows.update((i, w) for w in (x, x[2:]) if w)
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([language(r[0]) for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["id", "lang", "word"])
+
+
+def split_sentences(articles: DataFrame, known: dict[tuple[str, str], bool] | None = None, most: int = MOST_ABBREVIATIONS) -> DataFrame:
+    """(id, para_no, start_pos, end_pos) of every sentence; known: the collection's abbreviations, else learned here.
+    Abbreviations beyond `most` are joined to the articles that hold them: the result doesn't depend on `most`."""
     spark: SparkSession = articles.sparkSession
-    documents = distinct_articles(articles.withColumn("headline", F.lit(None).cast("string"))).select("id", "paragraphs")
+    documents = distinct_articles(articles, ("paragraphs",))
     if known is None:
-        documents = written(documents, "documents")  # read for the evidence and for the split
-        known = abbreviations(_evidence_of_distinct(documents))
+        learned = written(abbreviation_table(_evidence_of_distinct(documents)), "abbreviations")
+        known = {(r.lang, r.word): r.ends for r in learned.orderBy(F.desc("n"), "lang", "word").limit(most).collect()}
+        if len(known) == most:
+            sent = spark.createDataFrame(list(known), "lang string, word string")
+            rest = learned.join(F.broadcast(sent), ["lang", "word"], "left_anti").select("lang", "word", "ends")
+            held = documents.mapInArrow(_held_words, "id string, lang string, word string").join(rest, ["lang", "word"])
+            more = held.groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("word", "ends"))).alias("more"))
+            documents = documents.join(more, "id", "left")
     shared = spark.sparkContext.broadcast(known)
     run = lambda batches: _split_batches(shared.value)(batches)
     return documents.mapInArrow(run, "id string, para_no int, start_pos int, end_pos int")
@@ -361,9 +416,9 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_abbreviations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the collection shows about words with a stop: the fallback of the splitter, inspectable."""
+    """What the collection shows about words with a stop: what answers where a document is silent."""
     return abbreviation_evidence(table(spark, sf_dir, "articles"))
 
 
 QUERIES = {"p1_found": p1_found, "p1_abbreviations": p1_abbreviations}
-__all__ = ["Splitter", "abbreviation_evidence", "abbreviations", "split_sentences", "written"]
+__all__ = ["Splitter", "abbreviation_evidence", "abbreviations", "split_sentences"]

@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import chunks, codes, distinct_articles, mix, prefix_hash, shared_dir, span_hash, table, written
+from newsloom.llm.common import chunks, codes, distinct_articles, mix, prefix_hash, span_hash, table, written
+from newsloom.operators.storage import shared_dir
 
 LENGTH = 160
 GRAM = 48

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import char_table, chunks, codes, distinct_articles, prefix_hash, runs, span_hash, table, written
+from newsloom.llm.common import char_table, chunks, codes, distinct_articles, prefix_hash, runs, span_hash, table, with_numbers, written
 
 #: Terms within this many places of each other in a record are neighbours in its graph.
 WINDOW = 4
@@ -24,8 +24,10 @@ WINDOW = 4
 COMMON_SHARE = 0.002
 #: Hard bound on what is sent; beyond it the share is doubled until it fits. Rarer terms go through a join.
 MOST_COMMON = 200_000
-#: Records whose bitmaps are built together; also the width of a container.
+#: Record numbers that share a container.
 CONTAINER = 1 << 13
+#: Occurrences of terms in records that a task holds before its containers go out; parts of one are united later.
+MOST_HELD = 2_000_000
 
 TERM_CLASS = r"[[\p{L}\p{M}]--[\p{Script=Han}\p{Script=Hiragana}\p{Script=Katakana}\p{Script=Thai}ー]]+"
 
@@ -88,49 +90,36 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 def _containers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bitmaps of each term over CONTAINER records at a time; the records of a task are numbered as they come.
-
-    Only (term, record, count) triples of the running container are held.
-    """
-    from pyspark import TaskContext
-
-    part = TaskContext.get().partitionId() if TaskContext.get() else 0
+    """Bitmaps of each term over the record numbers of a container. Only (term, record, count) triples are held."""
     words: dict[str, int] = {}
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    number, size = 0, 0
-
-    def flush(chunk: int) -> pa.RecordBatch:
-        term, rec, n = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((rec, term))
-        term, rec, n = term[order], rec[order], n[order]
-        at = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1])))
-        bits = [pack(m) for m in np.split(rec, at[1:])]
-        names = list(words)
-        where = (part << 32) + chunk
-        return pa.RecordBatch.from_arrays([pa.array([names[t] for t in term[at]], pa.string()), pa.array(np.full(len(at), where), pa.int64()), pa.array(bits, pa.binary()), pa.array(np.add.reduceat(n, at), pa.int64())], names=["term", "container", "records", "n"])
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        term, record, n = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((record, term))
+        term, record, n = term[order], record[order], n[order]
+        where = record // CONTAINER
+        at = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (where[1:] != where[:-1]))))
+        bits = [pack(m) for m in np.split(record % CONTAINER, at[1:])]
+        names = pa.array(list(words), pa.string()).take(pa.array(term[at]))
+        return pa.RecordBatch.from_arrays([names, pa.array(where[at]), pa.array(bits, pa.binary()), pa.array(np.add.reduceat(n, at), pa.int64())], names=["term", "container", "records", "n"])
 
     for batch in batches:
+        numbers = batch["number"].to_numpy()
         texts = [lowered(p) for p in batch["paragraphs"].to_pylist()]
-        at = 0
-        while at < len(texts):
-            room = CONTAINER - number % CONTAINER
-            s = next(chunks([len(t) for t in texts[at : at + room]]))
-            block = Terms(texts[at + s.start : at + s.stop])
+        for s in chunks([len(t) for t in texts]):
+            block = Terms(texts[s])
             doc, term, n, _ = block.counted()
             local = np.fromiter((words.setdefault(w, len(words)) for w in block.words), dtype=np.int64, count=len(block.words))
             if len(doc):
-                held.append((local[term], doc + number % CONTAINER, n))
+                held.append((local[term], numbers[s][doc], n))
                 size += len(doc)
-            number += s.stop - s.start
-            at += s.stop - s.start
-            if held and number % CONTAINER == 0:
-                yield flush((number - 1) // CONTAINER)
-                words, held, size = {}, [], 0
-            elif size > 4_000_000:  # very long records: the container goes out in parts, united later
-                yield flush(number // CONTAINER)
+            if size > MOST_HELD:
+                yield flush()
                 words, held, size = {}, [], 0
     if held:
-        yield flush((number - 1) // CONTAINER)
+        yield flush()
 
 
 def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,14 +152,25 @@ def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield result([row()])
 
 
+def record_numbers(articles: DataFrame) -> DataFrame:
+    """(id, paragraphs, number): the records and the numbers that stand for them in bitmaps."""
+    return with_numbers(articles, "id", ["paragraphs"])
+
+
 def term_bitmaps(articles: DataFrame) -> DataFrame:
     """(term, container, records, n, df): compressed bitmaps of record numbers by term, with their occurrences.
 
-    A bitmap is never joined over the whole collection: each (term, container) stays a row of at most
-    CONTAINER / 8 bytes, so that no term, however common, becomes one task's work.
+    A record's number is container * CONTAINER + its member, and is that of record_numbers. Containers that several
+    tasks or batches hold in part are merged by union. A bitmap is never joined over the whole collection: each
+    (term, container) stays a row of at most CONTAINER / 8 bytes, so no term, however common, becomes one task's work.
     """
-    parts = distinct_articles(articles).select("id", "paragraphs").mapInArrow(_containers, "term string, container long, records binary, n long")
-    return parts.repartition("term", "container").sortWithinPartitions("term", "container").mapInArrow(_unite, "term string, container long, records binary, n long, df long")
+    parts = record_numbers(articles).select("number", "paragraphs").mapInArrow(_containers, "term string, container long, records binary, n long")
+    return united(parts)
+
+
+def united(parts: DataFrame) -> DataFrame:
+    """Union of bitmaps (term, container, records, n) that share no record: of tasks, or of batches of records."""
+    return parts.select("term", "container", "records", "n").repartition("term", "container").sortWithinPartitions("term", "container").mapInArrow(_unite, "term string, container long, records binary, n long, df long")
 
 
 def term_frequencies(articles: DataFrame) -> DataFrame:
@@ -260,11 +260,14 @@ def distinctive_terms(articles: DataFrame, left_out: DataFrame, k: int | None =
     left_out: table with a column word, bounded (it is sent to all tasks); nulls in it are ignored.
     k: best terms of each record, None for all.
     """
-    records = distinct_articles(articles).select("id", "paragraphs")
+    records = distinct_articles(articles, ("paragraphs",))
     counts = written(records.mapInArrow(_partial_df, "term string, df long, records long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("records").alias("records")), "term-df")
     total = counts.agg(F.sum("records")).first()[0] or 0
     counts = counts.where("term <> ''").select("term", F.col("df").alias("all_df"))
-    words = frozenset(r.word for r in left_out.select("word").where("word is not null").distinct().limit(MOST_COMMON).collect())
+    stop = left_out.select(F.col("word").alias("term")).where("term is not null").distinct()
+    words = frozenset(r.term for r in stop.orderBy("term").limit(MOST_COMMON).collect())
+    if len(words) == MOST_COMMON:
+        counts = counts.join(stop, "term", "left_anti")  # those that aren't sent have no frequency to join
     common = _shared_terms(counts.withColumnRenamed("all_df", "df"), total)
     shared = articles.sparkSession.sparkContext.broadcast((common, words))
     run = lambda batches: _graph_batches(*shared.value, total, k, by_degree)(batches)
@@ -311,6 +314,13 @@ t AS (SELECT id, term, count(*) AS n FROM w GROUP BY id, term),
 f AS (SELECT term, sum(n)::BIGINT AS n, count(*) AS df FROM t GROUP BY term)
 """
 SQL = {
+    "p2_graph_weights": rf"""WITH {_OCCURRENCES}, s AS (SELECT id, regexp_extract_all(regexp_replace(lower(array_to_string(list_filter(ps, lambda x: x IS NOT NULL), chr(10))), '[\p{{Han}}\p{{Hiragana}}\p{{Katakana}}\p{{Thai}}ー]+', ' ', 'g'), '[\p{{L}}\p{{M}}]+') AS ts FROM d),
+o AS (SELECT id, ts, unnest(range(1, len(ts) + 1)) AS i FROM s),
+e AS (SELECT DISTINCT id, ts[i] AS a, ts[i + g] AS b FROM o, (SELECT unnest(range(1, {WINDOW})) AS g) WHERE i + g <= len(ts) AND ts[i] <> ts[i + g]),
+g AS (SELECT id, a AS term, count(*) AS degree FROM (SELECT id, a, b FROM e UNION SELECT id, b, a FROM e) GROUP BY id, a),
+x AS (SELECT t.id, t.term, t.n, coalesce(degree, 0) AS degree, df, coalesce(degree, 0) * ln(((SELECT count(*) FROM d) + 1)::DOUBLE / (df + 1)) AS score FROM t LEFT JOIN g USING (id, term) JOIN (SELECT term, df FROM f) USING (term) WHERE df >= 2 AND NOT EXISTS (SELECT 1 FROM common_words c WHERE c.word = t.term)),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, term) AS place FROM x)
+SELECT id, term, n, degree, df, round(score, 6) AS score, place FROM r WHERE place <= 3""",
     "p2_found": f"""WITH {_OCCURRENCES}, s AS (SELECT t.id, t.term, t.n * ln(((SELECT count(*) FROM d) + 1)::DOUBLE / (f.df + 1)) AS score FROM t JOIN f USING (term) WHERE f.df >= 2 AND NOT EXISTS (SELECT 1 FROM common_words c WHERE c.word = t.term))
 SELECT id, term FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, term) <= 3""",
     "p3_found": f"""WITH {_OCCURRENCES} SELECT term, CASE WHEN df < 3 THEN 'rare' ELSE 'common' END AS mark FROM f WHERE df < 3 OR df > 0.4 * (SELECT count(*) FROM d)""",

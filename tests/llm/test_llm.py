@@ -49,13 +49,34 @@ def test_sentence_counts(text, n):
     assert "".join("".join(got).split()) == "".join(text.split())
 
 
-def test_document_decides_where_the_collection_is_silent():
+def test_document_decides_first():
     text = "The Gaz. reported losses. Then Gaz. Marlow left the Gaz. The end came."
     assert split(text) == ["The Gaz. reported losses.", "Then Gaz. Marlow left the Gaz.", "The end came."]
     assert len(split(text, known={("ENG", "Gaz"): True})) == 4
     assert len(split("He ran. then he ran off. Ash ran. Bob too.")) == 3  # a slip makes no abbreviation of "ran"
 
 
+def test_one_document_splits_what_another_does_not():
+    """The same words, in documents that show an abbreviation, a word, a name, a common word or nothing."""
+    never = {("ENG", "Prof"): False, ("ENG", "Sun"): False}
+    parts = lambda text, known=None: len(split(text + " They met Gaz. Marlow there.", known=known or never))
+    assert parts("The Gaz. reported losses.") == 2
+    assert parts("The Gaz. reported losses. All saw the old marlow swim.") == 4
+    assert parts("It rained.") == 3
+    sun = "It was seen by Sun. Later it rose."
+    assert len(split(sun, known=never)) == 1
+    assert len(split(sun + " We like the Sun very much.", known=never)) == 3
+    assert len(split(sun + " It came later on.", known=never)) == 3
+
+
+def test_abbreviations_beyond_the_bound_are_joined(spark):
+    many = [(f"U{i}", ["He met Prof. Brown. He saw Capt. Green."]) for i in range(18)]
+    a = articles(spark, many)
+    assert {r.end_pos for r in sentences.split_sentences(a).collect()} == {19, 39}
+    for most in (0, 1):
+        assert {tuple(r) for r in sentences.split_sentences(a, most=most).collect()} == {tuple(r) for r in sentences.split_sentences(a).collect()}
+
+
 def test_abbreviations_count_documents(spark):
     again = [("S", ["He met Smith. Brown ran."])] * 30
     inside = [("T", ["He met Jones. Brown ran. " * 30, "Etc. and so on etc. and. " * 9])]
@@ -103,6 +124,24 @@ def test_terms_against_brute_force(spark):
     assert terms.useless_terms(articles(spark, [])).count() == 0
 
 
+def test_bitmaps_stand_for_records(spark, tmp_path):
+    """Numbers lead back to ids, whatever the tasks; the union with a later batch counts all records."""
+    rows = [(f"B{i:03}", ["ash elm" if i % 3 else "ash oak oak"]) for i in range(90)] + [(f"B{i:03}", ["ash elm" if i % 3 else "ash oak oak"]) for i in range(0, 90, 9)]
+    for k, part in enumerate((rows[:50], rows[50:])):
+        articles(spark, part).coalesce(1).write.parquet(str(tmp_path / f"day{k}"))
+    both = spark.read.parquet(str(tmp_path / "day0"), str(tmp_path / "day1"))
+    number = {r.number: r.id for r in terms.record_numbers(both).collect()}
+    assert sorted(number.values()) == sorted({r[0] for r in rows})
+    held = collections.defaultdict(set)
+    for r in terms.term_bitmaps(both).collect():
+        held[r.term] |= {number[r.container * terms.CONTAINER + int(m)] for m in terms.unpack(r.records)}
+    assert held["oak"] == {f"B{i:03}" for i in range(0, 90, 3)} and held["ash"] == set(number.values())
+    assert held["oak"] & held["elm"] == set()
+    bits = terms.term_bitmaps(both)
+    again = terms.united(bits.repartition(3).unionByName(bits.where("false")))
+    assert {(r.term, r.df, r.n) for r in again.groupBy("term").agg(F.sum("df").alias("df"), F.sum("n").alias("n")).collect()} == {("ash", 90, 90), ("oak", 30, 60), ("elm", 60, 60)}
+
+
 def test_bitmap_round_trip():
     for size in (1, 5, 511, 512, 8000):
         m = np.sort(np.random.default_rng(size).choice(terms.CONTAINER, size, replace=False))
@@ -130,24 +169,51 @@ def test_near_duplicates_against_brute_force(spark):
     assert ("C1", "C2") in got and not got - want and len(want & got) >= 0.95 * len(want)
 
 
-def test_pairs_at_the_threshold_survive_all_levels():
-    """Pairs of signatures that agree in 0.61 of places, branched to the last level."""
+@pytest.mark.parametrize(("depth", "small"), [(1, 40), (1, 1), (3, 1)])
+def test_pairs_at_the_threshold_survive(monkeypatch, depth, small):
+    """Pairs of signatures that agree in 0.61 of places, at a forced depth, down to the last level inside."""
+    monkeypatch.setattr(near, "SMALL", small)
     rng = np.random.default_rng(4)
-    n = 1500
+    n = 400
     left = rng.integers(0, 256, (n, near.PLACES), dtype=np.uint8)
     right = np.where(rng.random((n, near.PLACES)) < 0.61, left, left + 1 + rng.integers(0, 200, (n, near.PLACES), dtype=np.uint8)).astype(np.uint8)
-    trees = near.trees_for(near.LEVELS)
-    names = [str(i) for i in range(2 * n)]
-    batch = near.pa.RecordBatch.from_arrays([near.pa.array(names), near.pa.array([x.tobytes() for x in np.concatenate((left, right))], near.pa.binary())], names=["id", "sig"])
-    met = np.zeros(n, bool)
-    for b in near._paths(near.LEVELS, trees)(iter([batch])):
-        node = b["node"].to_numpy()
-        met |= node[:n] == node[n:]
-    assert met.mean() >= 0.985
-    assert near.recall(near.THRESHOLD, near.LEVELS, trees) >= near.RECALL > near.recall(near.THRESHOLD, near.LEVELS, trees - 1)
-    for code in range(trees << (near.LEVELS - 1), trees << near.LEVELS):
-        used = [int(near.places(trees, near.LEVELS)[code >> k + 1, code >> k & 1]) for k in range(near.LEVELS - 1)]
-        assert len(set(used)) == len(used)
+    plan = near.Plan(1 << 16)
+    plan.depth, plan.big = depth, {k: np.full(8192, 255, np.uint8) for k in range(1, depth)}
+    sigs = [x.tobytes() for x in np.concatenate((left, right))]
+    batch = near.pa.RecordBatch.from_arrays([near.pa.array([str(i) for i in range(2 * n)]), near.pa.array(np.arange(2 * n)), near.pa.array(sigs, near.pa.binary())], names=["id", "h1", "sig"])
+    parts = list(near._paths(plan)(iter([batch])))
+    node, tree = (np.concatenate([b[c].to_numpy() for b in parts]) for c in ("node", "tree"))
+    ids = np.concatenate([np.array(b["id"].to_pylist(), int) for b in parts])
+    sig = np.concatenate([near._sigs(b) for b in parts])
+    pairs = ids[near.node_pairs(sig, node.view(np.uint64), tree.astype(np.int64))]
+    agree = (left == right).sum(1) >= near.AGREE * near.PLACES
+    met = {tuple(sorted(p)) for p in pairs.tolist()}
+    assert np.mean([(i, i + n) in met for i in np.flatnonzero(agree)]) >= 0.98
+    assert near.recall(near.THRESHOLD, depth, near.trees_for(depth)) >= near.RECALL > near.recall(near.THRESHOLD, depth, near.trees_for(depth) - 1)
+
+
+def test_depth_follows_the_nodes_and_loses_nothing(spark):
+    """Nodes of a few records force more levels; what is sent grows with the depth that the records need, links stay."""
+    a = spark.read.parquet("/root/testdata/sf0.001/articles.parquet")
+    want = {(r.a, r.b) for r in near.near_duplicates(a)[0].collect()}
+    got = {(r.a, r.b) for r in near.near_duplicates(a, node_rows=20, levels=3)[0].collect()}
+    assert len(got & want) >= 0.99 * len(want) and not got - want
+    signed = near.written(a.dropDuplicates(["id"]).mapInArrow(near._sign, near.SIGNATURES), "signed")
+    sent, depth = {}, {}
+    for rows in (near.NODE_ROWS, 20):
+        plan = near.plan_nodes(signed, signed.count(), rows, 3)
+        sent[rows], depth[rows] = signed.mapInArrow(near._paths(plan), near.NODES).count() / signed.count(), plan.depth
+    assert depth[near.NODE_ROWS] == 1 < depth[20]
+    assert sent[20] <= 2 * sent[near.NODE_ROWS] and sent[near.NODE_ROWS] <= near.trees_for(1)
+
+
+def test_crowded_nodes_are_cut_into_blocks(spark):
+    random.seed(8)
+    base = ["".join(random.choices("abcdefghij", k=6)) for _ in range(60)]
+    rows = [(f"K{i:02}", [" ".join([*base, f"only {i} " + "".join(random.choices("xyzuvw", k=12))])]) for i in range(40)]
+    links, _ = near.near_duplicates(articles(spark, rows), node_rows=9, levels=2)
+    got = {(r.a, r.b) for r in links.collect()}
+    assert len(got) == 40 * 39 // 2
 
 
 def test_repeated_lines(spark):
