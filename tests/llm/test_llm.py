@@ -225,16 +225,23 @@ def test_repeated_lines(spark):
 
 
 @pytest.mark.parametrize("hot", [2000, 1])
-def test_shared_spans_against_brute_force(spark, monkeypatch, hot):
+def test_shared_spans_against_brute_force(spark, monkeypatch, tmp_path, hot):
     monkeypatch.setattr(spans, "HOT", hot)
     random.seed(9)
     part = ["".join(random.choices("abcdef ", k=random.randint(100, 300))) for _ in range(12)]
     rows = [(f"D{i}", ["".join(random.sample(part, 4)), "x" * 400 if i < 2 else None, part[0] * 2]) for i in range(15)] + EDGES
     a = articles(spark, rows + rows[:2])
-    index = spans.FingerprintIndex(spark, buckets=4, fan_out=1)
-    index.append(a.where("id < 'D2'").select("id", "paragraphs"))
-    index.append(a.where("id >= 'D2'").select("id", "paragraphs"))
-    assert len(index.runs) == 1  # compacted
+    index = spans.FingerprintIndex(spark, str(tmp_path / "index"), buckets=4, fan_out=2)
+    hits = [index.append(a.where("id < 'D11'"))]
+    hits.append(index.append(a.where("id >= 'D11' and id < 'D13'")))
+    for name, _ in index.runs:
+        spark.sql(f"DROP TABLE {name}")
+    again = spans.FingerprintIndex(spark, str(tmp_path / "index"), fan_out=2)  # opened from its files
+    assert again.runs == index.runs and again.buckets == 4
+    hits.append(again.append(a.where("id >= 'D13'")))
+    assert len(again.runs) == 2  # compacted, and the files of the old runs are gone
+    assert len([f for f in (tmp_path / "index").iterdir() if f.name.startswith("run_")]) == 2
+    hits = hits[0].unionByName(hits[1]).unionByName(hits[2])
     held = collections.defaultdict(set)
     for i, ps in rows[:15]:
         for p in ps:
@@ -252,10 +259,29 @@ def test_shared_spans_against_brute_force(spark, monkeypatch, hot):
                         want |= {(i, no, *run)} if run else set()
                         run = [k, k + 160]
             want |= {(i, no, *run)} if run else set()
-    got = [tuple(r) for r in spans.shared_spans(a, index).collect()]
+    got = [tuple(r) for r in spans.shared_spans(a, hits).collect()]
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_windows_are_compared_by_characters():
+    """Where all hashes collide, only windows of equal characters count."""
+    near = ["abcdefgh", "xabcdefy", "qqqqqqqq"]
+    zero = lambda pre, a, b: np.zeros(len(a), np.uint64)
+    row, place = spans.shared_windows(near, np.zeros(3, np.int64), np.arange(3), 6, zero)
+    assert list(zip(row.tolist(), place.tolist())) == [(0, 0), (1, 1)]
+    got = [x.tolist() for x in spans.shared_windows(near, np.zeros(3, np.int64), np.arange(3), 6)]
+    assert got == [row.tolist(), place.tolist()]
+    assert len(spans.shared_windows(near, np.arange(3), np.arange(3), 6)[0]) == 0
+
+
+def test_spans_of_undated_and_empty_batches(spark):
+    text = "A sentence of some length that stands in two articles, word for word. " * 4
+    a = articles(spark, [("A19990101.0001", [text]), ("B19990101.0001", ["Here: " + text, None])])
+    assert spans.spans_of_batches(a).count() == 2
+    assert spans.spans_of_batches(a.withColumn("date", F.lit(None).cast("date"))).count() == 2
+    assert spans.spans_of_batches(a.limit(0)).count() == 0
+
+
 def test_encoding_equals_library(spark):
     tokenizers = pytest.importorskip("tokenizers")
     lib = tokenizers.Tokenizer.from_file(f"{encoding.TOKENIZERS}/byte_bpe_50k.json")
