@@ -220,8 +220,28 @@ def test_repeated_lines(spark):
     rows = [(f"ABC2000010{i}.0001", [f"By Ash\nText number {i} is here", None]) for i in range(9)] + [(f"XYZ2000010{i}.0001", ["by  ASH "]) for i in range(7)] + EDGES
     got = sorted(tuple(r) for r in lines.repeated_lines(articles(spark, rows + rows[:2])).select("id", "para_no", "line_no").collect())
     assert got == [(f"ABC2000010{i}.0001", 0, 0) for i in range(9)]
-    clean = {r.id: r.paragraphs for r in lines.without_repeated_lines(articles(spark, rows)).collect()}
-    assert clean["ABC20000101.0001"] == ["Text number 1 is here", None] and clean["XYZ20000101.0001"] == ["by  ASH "]
+    clean = {r.id: r.paragraphs for r in lines.without_covered_lines(articles(spark, rows)).collect()}
+    assert clean["XYZ20000101.0001"] == ["by  ASH "] and clean["ABC20000101.0001"] == [None, None]  # numbers vary
+
+
+def test_templates_cover_lines_that_vary(spark):
+    name = ["Ash", "Bay", "Cod", "Elm", "Fig", "Gum", "Hay", "Ivy", "Jam"]
+    rows = [(f"ABC2000010{i}.0001", [f"This story was written in full by {n} {m} for the paper\nThe {n} went to {m} by boat at noon today"]) for i, (n, m) in enumerate(zip(name, name[::-1]))]
+    a = articles(spark, rows)
+    assert lines.repeated_lines(a).count() == 0
+    clean = [r.paragraphs for r in lines.without_covered_lines(a).collect()]
+    assert sorted(clean) == sorted([p.split("\n")[1]] for _, (p,) in rows)
+    full = lines.full_leaves(lines.lines_of(a), 8)
+    assert [(" ".join(r.template), r.n) for r in lines.line_templates(full).collect()] == [("this story was written in full by <*> <*> for the paper", 9)]
+    split = full.repartition(5).sortWithinPartitions("line")  # whatever the tasks
+    assert [r.n for r in lines.line_templates(split).collect()] == [9]
+
+
+def test_templates_keep_half_of_their_tokens():
+    leaf = lines.Leaf()
+    for t in ("a b c d", "a b x y", "a q x z", "r q x z"):
+        leaf.add(t.split(), 1)
+    assert [t for t, _ in leaf.templates()] == [["a", "b", "<*>", "<*>"], ["<*>", "q", "x", "z"]]
 
 
 @pytest.mark.parametrize("hot", [2000, 1])
