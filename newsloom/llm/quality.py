@@ -19,9 +19,29 @@ from newsloom.llm.common import chunks, codes, prefix_hash, runs, span_hash, tab
 LINE_ENDS = frozenset(".!?…。！？।؟\"'”’»)」』")
 #: Most common words that are sent to all tasks.
 MOST_WORDS = 100_000
-COMPONENTS = 4
-ROUNDS = 25
+ROUNDS = 50
 FEATURES = ("symbol_share", "ended_share", "mean_word_length", "common_share", "words_per_line", "digit_share")
+#: Features of which the logarithm is taken, after adding this.
+LOGS = {"mean_word_length": 0.0, "words_per_line": 1.0}
+#: Inspected examples: the kind and the FEATURES of documents that were read. The mixture has a component for each, and
+#: begins there; a fitted component gets the kind of the nearest example.
+EXAMPLES = [
+    ("prose", (0.03, 1.0, 5.9, 0.25, 16.0, 0.02)),  # paragraphs
+    ("prose", (0.04, 0.97, 5.5, 0.18, 60.0, 0.01)),  # one long line
+    ("prose", (0.1, 0.95, 65.0, 0.0, 1.0, 0.06)),  # scripts without blanks
+    ("prose", (0.04, 0.95, 8.0, 0.0, 3.0, 0.02)),  # languages without common words
+    ("list", (0.04, 0.0, 6.9, 0.0, 4.7, 0.04)),  # numbered
+    ("list", (0.03, 0.0, 8.4, 0.0, 4.0, 0.12)),  # timetable
+    ("list", (0.2, 0.0, 5.5, 0.0, 4.0, 0.02)),  # bullets
+    ("list", (0.04, 0.13, 6.2, 0.17, 7.5, 0.05)),  # after some sentences
+    ("table", (0.17, 0.0, 2.6, 0.0, 8.0, 0.4)),  # columns
+    ("table", (0.24, 0.0, 6.1, 0.0, 6.6, 0.49)),  # report of scores
+    ("junk", (0.26, 0.0, 6.4, 0.0, 1.7, 0.03)),  # mark-up
+    ("junk", (0.85, 0.4, 24.0, 0.0, 1.7, 0.0)),  # symbols
+    ("junk", (0.03, 1.0, 75.0, 0.0, 2.3, 0.02)),  # words without blanks
+    ("junk", (0.02, 1.0, 1.1, 0.05, 90.0, 0.01)),  # single letters
+    ("junk", (0.01, 1.0, 6.2, 0.0, 25.0, 0.0)),  # words without a sentence
+]
 
 STATS = "doc_id long, lang string, n_words long, n_chars long, n_symbols long, n_digits long, n_lines long, n_ended long, n_common long"
 
@@ -123,12 +143,17 @@ def not_prose() -> F.Column:
 # ---- mixture -------------------------------------------------------------------------------------------------
 
 
-def _design(batch: pa.RecordBatch, mean: np.ndarray, std: np.ndarray) -> np.ndarray:
-    x = np.column_stack([batch[f].to_numpy(zero_copy_only=False).astype(np.float64) for f in FEATURES])
-    x[:, FEATURES.index("words_per_line")] = np.log1p(x[:, FEATURES.index("words_per_line")])
+def _design(x: np.ndarray, mean: np.ndarray, std: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    for f, more in LOGS.items():
+        x[:, FEATURES.index(f)] = np.log(x[:, FEATURES.index(f)] + more)
     return (x - mean) / std
 
 
+def _features(batch: pa.RecordBatch) -> np.ndarray:
+    return np.column_stack([batch[f].to_numpy(zero_copy_only=False) for f in FEATURES])
+
+
 def _responsibilities(x: np.ndarray, weight: np.ndarray, mu: np.ndarray, var: np.ndarray) -> tuple[np.ndarray, float]:
     log = np.log(weight) - 0.5 * (np.log(2 * np.pi * var).sum(1) + ((x[:, None, :] - mu) ** 2 / var).sum(2))
     top = log.max(1, keepdims=True)
@@ -136,33 +161,22 @@ def _responsibilities(x: np.ndarray, weight: np.ndarray, mu: np.ndarray, var: np
     return np.exp(log - total[:, None]), float(total.sum())
 
 
-def fit_mixture(stats: DataFrame, components: int = COMPONENTS, rounds: int = ROUNDS) -> dict | None:
-    """Diagonal Gaussian mixture by expectation-maximisation over all documents with words.
-
-    Every round is one pass; tasks send k * (2 d + 1) sums each. Starts from documents that the rule's statistics
-    mark as typical (many symbols, unfinished lines, few common words, none of these): deterministic. None where no
-    document has words.
+def fit_mixture(stats: DataFrame, rounds: int = ROUNDS) -> dict | None:
+    """Diagonal Gaussian mixture by expectation-maximisation over the standardised statistics of all documents with
+    words. Every round is one pass; tasks send k * (2 d + 1) sums each. It begins at EXAMPLES, so it is deterministic.
+    None where no document has words.
     """
     rows = stats.where("n_words > 0").select(*FEATURES)
-    lined = lambda f: F.log1p(f) if f == "words_per_line" else F.col(f)
-    kind = F.when(F.col("symbol_share") > 0.2, 3).when(F.col("words_per_line") < 6, 1).when(F.col("digit_share") > 0.15, 2).otherwise(0)
-    start = rows.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), *(F.sum(lined(f)).alias(f"s_{f}") for f in FEATURES), *(F.sum(lined(f) * lined(f)).alias(f"q_{f}") for f in FEATURES)).collect()
-    if not start:
+    value = {f: F.log(F.col(f) + LOGS[f]) if f in LOGS else F.col(f) for f in FEATURES}
+    r = rows.agg(F.count("*").alias("n"), *(F.sum(v).alias(f"s_{f}") for f, v in value.items()), *(F.sum(v * v).alias(f"q_{f}") for f, v in value.items())).first()
+    if not r.n:
         return None
-    n = sum(r.n for r in start)
-    s = np.array([sum(r[f"s_{f}"] for r in start) for f in FEATURES])
-    q = np.array([sum(r[f"q_{f}"] for r in start) for f in FEATURES])
-    mean = s / n
-    std = np.sqrt(np.maximum(q / n - mean**2, 1e-12))
-    mu = np.zeros((components, len(FEATURES)))
-    weight = np.full(components, 1.0)
-    for r in start:
-        mu[r.kind] = (np.array([r[f"s_{f}"] for f in FEATURES]) / r.n - mean) / std
-        weight[r.kind] += r.n
-    for k in set(range(components)) - {r.kind for r in start}:
-        mu[k] = np.linspace(-1, 1, components)[k]
-    weight /= weight.sum()
-    var = np.ones_like(mu)
+    mean = np.array([r[f"s_{f}"] for f in FEATURES]) / r.n
+    std = np.maximum(np.sqrt(np.maximum(np.array([r[f"q_{f}"] for f in FEATURES]) / r.n - mean**2, 0)), 1e-3)
+    mu = _design(np.array([x for _, x in EXAMPLES]), mean, std)
+    components = len(mu)
+    weight = np.full(components, 1 / components)
+    var = np.full_like(mu, 0.25)
     last = -np.inf
     for _ in range(rounds):
         args = (mean, std, weight, mu, var)
@@ -173,7 +187,7 @@ def fit_mixture(stats: DataFrame, components: int = COMPONENTS, rounds: int = RO
             like = 0.0
             for batch in batches:
                 if batch.num_rows:
-                    x = _design(batch, mean, std)
+                    x = _design(_features(batch), mean, std)
                     resp, more = _responsibilities(x, weight, mu, var)
                     like += more
                     total += np.column_stack((resp.sum(0), resp.T @ x, resp.T @ x**2))
@@ -194,13 +208,9 @@ def fit_mixture(stats: DataFrame, components: int = COMPONENTS, rounds: int = RO
 
 
 def name_components(model: dict) -> list[str]:
-    """Names from the components' centres: thresholds set after looking at typical documents of each kind."""
-    out = []
-    for centre in model["mu"] * model["std"] + model["mean"]:
-        c = dict(zip(FEATURES, centre))
-        lines = np.expm1(c["words_per_line"])
-        out.append("junk" if c["symbol_share"] > 0.25 and lines < 40 and c["digit_share"] < 0.1 else "table" if c["digit_share"] > 0.12 or c["symbol_share"] > 0.12 and c["ended_share"] < 0.5 else "list" if c["ended_share"] < 0.5 else "prose")
-    return out
+    """The kind of the inspected example nearest to each component's centre, in standardised units."""
+    examples = _design(np.array([x for _, x in EXAMPLES]), model["mean"], model["std"])
+    return [EXAMPLES[int(((examples - centre) ** 2).sum(1).argmin())][0] for centre in model["mu"]]
 
 
 def classify(stats: DataFrame, model: dict | None) -> DataFrame:
@@ -215,7 +225,7 @@ def classify(stats: DataFrame, model: dict | None) -> DataFrame:
             best, p = np.zeros(len(some), np.int32), np.zeros(len(some))
             if some.any():
                 part = batch.filter(pa.array(some))
-                resp, _ = _responsibilities(_design(part, model["mean"], model["std"]), model["weight"], model["mu"], model["var"])
+                resp, _ = _responsibilities(_design(_features(part), model["mean"], model["std"]), model["weight"], model["mu"], model["var"])
                 best[some], p[some] = resp.argmax(1), resp.max(1)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(best, pa.int32(), mask=~some), pa.array([names[b] for b in best], pa.string(), mask=~some), pa.array(p, pa.float64(), mask=~some)], names=["doc_id", "component", "kind", "probability"])
 

@@ -352,6 +352,26 @@ def test_quality(spark):
     assert quality.classify(empty, quality.fit_mixture(empty)).count() == 0
 
 
+def test_mixture_finds_all_four_kinds(spark):
+    random.seed(6)
+    word = lambda: "".join(random.choices("abcdefghij", k=random.randint(3, 9)))
+    few = ["the", "of", "and", "in", "to"]
+    prose = lambda: " ".join(random.choice(few) if random.random() < 0.3 else word() for _ in range(80)) + "."
+    make = {
+        "prose": lambda: "\n".join(prose() for _ in range(4)),
+        "list": lambda: "\n".join(f"{k}) {word()} {word()} {word()}" for k in range(1, random.randint(9, 16))),
+        "table": lambda: "\n".join(" | ".join([word()] + [str(random.randint(1, 200)) for _ in range(4)]) for _ in range(random.randint(9, 16))),
+        "junk": lambda: "\n".join("".join(random.choices("#$%*+-/<>=@|~", k=20)) + " " + word() for _ in range(8)),
+    }
+    rows = [(k, f(), "en") for k, f in enumerate(f for kind, f in make.items() for _ in range(300 if kind == "prose" else 40))]
+    kind = dict(enumerate(kind for kind in make for _ in range(300 if kind == "prose" else 40)))
+    stats = quality.text_statistics(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([("en", w) for w in few], "lang string, word string"))
+    got = {r.doc_id: r.kind for r in quality.classify(stats, quality.fit_mixture(stats)).collect()}
+    for name in make:
+        mine = [got[k] for k in kind if kind[k] == name]
+        assert sum(x == name for x in mine) >= 0.95 * len(mine), name
+
+
 def test_clashing_columns(spark):
     df = articles(spark, [("A19990101.0001", ["One two. Three."])]).withColumn("h", F.lit(1)).withColumn("leaf", F.lit(2)).withColumn("term", F.lit("z"))
     assert terms.term_frequencies(df).count() == 3
