@@ -27,6 +27,8 @@ class NgramConfig:
 
 @dataclass(frozen=True)
 class LexRankConfig:
+    similarity: str = "tf_idf"  # or "tf_idf_vector", "word_vector"
+    bias_by: str = "ir"  # or "vector"
     threshold: float | None = None  # None: continuous
     damping: float = 0.4
     bias: bool = True
@@ -46,6 +48,8 @@ class RealizationConfig:
     remove_sentence_initial_terms: bool = True
     remove_attributions: bool = True
     remove_pronoun_openings: bool = True
+    remove_subjectless: bool = False
+    remove_appositives: bool = False
 
 
 @dataclass(frozen=True)
@@ -64,6 +68,18 @@ class Config:
     realization: RealizationConfig = field(default_factory=RealizationConfig)
     ordering: OrderingConfig = field(default_factory=OrderingConfig)
 
+    @staticmethod
+    def from_dict(values: dict) -> Config:
+        """Settings from nested dictionaries, such as a parsed settings file; what is absent keeps its default, what is
+        unknown is an error."""
+        parts = {"ngram": NgramConfig, "lexrank": LexRankConfig, "realization": RealizationConfig, "ordering": OrderingConfig}
+        made = {k: parts[k](**{n: tuple(x) if isinstance(x, list) else x for n, x in v.items()}) if k in parts else v for k, v in values.items()}
+        return Config(**made)
+
+    @staticmethod
+    def from_json(text: str) -> Config:
+        return Config.from_dict(json.loads(text))
+
     def to_json(self) -> str:
         """The effective settings, as they are kept beside a run's summaries."""
         return json.dumps(asdict(self), indent=1)

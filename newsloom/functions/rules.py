@@ -136,6 +136,36 @@ PRONOUNS = ["he", "she", "it", "they", "we", "i", "you", "this", "that", "these"
 WEAK_STARTS = ["He", "She", "It", "They", "That", "Those", "Some", "Since"]
 
 
+# Closed classes in place of a parser: openers without a subject, signs of a finite verb, appositions.
+BARE_OPENERS = ["according", "including", "citing", "see", "add", "call", "mail", "visit", "send", "note"]
+FINITE = r"(?i)\b(?:is|are|was|were|be|been|has|have|had|do|does|did|will|would|can|could|may|might|must|shall|should|says?|said)\b|\w{2,}(?:ed|es|s)\b"
+APPOSITIVES = [(r"([A-Z][\w'-]*), (?:an?|the) [^,.;!?]{1,80},", r"\1")]
+
+#: What a text must hold for a rule to match: cheap to look for, where the rule itself tries many places or lengths.
+NEEDS = {
+    r"\s+\n": r"\n",
+    r"(\S+)\n": r"\n",
+    r"\s+": r"[\t\n\x0B\f\r]|  ",
+    r"(?i)^.*top news stories.*$": r"(?i)top news stories",
+    r"(?i).{0,50}e-?mail address is.{0,100}": r"(?i)mail address is",
+    r"(?i)\.\s*e-?mail.{0,100}": r"(?i)\.\s*e-?mail",
+    r"(?i)\s*phone:.{0,100}": r"(?i)phone:",
+    r"(?i)\s*pager:.{0,100}": r"(?i)pager:",
+    r"www.{4,100}$": r"www",
+    r"https?://www.{4,100}$": r"://www",
+    r"\s+\.\s+\.\s+\.": r"\s\.\s+\.\s+\.",
+    r"(?i),?\sstaff reporting.?": r"(?i)staff reporting",
+    r"(?i)Associated Press Writers [a-zA-z|\s|;|\.]*$": r"(?i)associated press writers",
+    r"^.{0,50}\(AP\) (--)*": r"\(AP\) ",
+    r"^.{0,50}\(JP\):? (--)*": r"\(JP\)",
+    r".{0,10}\(JP\):\s?": r"\(JP\):",
+    r"[A-Z|a-z]*-[A-Z|a-z]*-[A-Z|a-z]*-[A-Z|a-z]*\s+": r"-[A-Z|a-z]*-[A-Z|a-z]*-[A-Z|a-z]*\s",
+    r"\s+_\s+": r"\s_\s",
+    r"[\w]* Not Otherwise Specified": r" Not Otherwise Specified",
+    r"([\w]*)\s?\([A-Z]{2,4}\)\s?": r"\([A-Z]{2,4}\)",
+    r"([^`])`([^`])": r"`",
+}
+
 #: Each group of cleaning rules with what a text must hold for any rule of the group to match.
 GROUPS = [
     (r"[\t\n\x0B\f\r]|  ", WHITE),

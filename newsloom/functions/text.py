@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 
 from pyspark.sql import Column
@@ -25,16 +26,23 @@ def rewrite_sql(text: str, steps: list[tuple[str, str]]) -> str:
 
 
 def clean_all(texts: Column, remove_quotes: bool = False) -> Column:
-    """Cleans every text of an array. A group of rules is skipped where none of it can match; the text is a lambda
-    variable, so the chain stays as long as the list of rules."""
+    """Cleans every text of an array. A group of rules is skipped where none of it can match, and in a group each rule
+    with an entry in NEEDS; the text is a lambda variable, so the chain stays as long as the list of rules."""
     groups = rules.GROUPS + ([(rules.QUOTE_GUARD, rules.NO_QUOTES)] if remove_quotes else []) + [rules.GROUPS[0]]
     for guard, steps in groups:
-        texts = _guarded(texts, guard, steps)
+        texts = F.transform(texts, lambda t: F.when(t.rlike(guard), _in_turn(F.array(t), steps)[0]).otherwise(t))
     return F.transform(texts, lambda t: F.trim(t))
 
 
-def _guarded(texts: Column, guard: str, steps: list[tuple[str, str]]) -> Column:
-    return F.transform(texts, lambda t: F.when(t.rlike(guard), rewrite(t, steps)).otherwise(t))
+def _in_turn(texts: Column, steps: list[tuple[str, str]]) -> Column:
+    """Rules one after the other; those without an entry in NEEDS that follow each other are one expression."""
+    for need, run in itertools.groupby(steps, lambda step: rules.NEEDS.get(step[0])):
+        rest = list(run)
+        if need:
+            texts = F.transform(texts, lambda t: F.when(t.rlike(need), rewrite(t, rest)).otherwise(t))
+        else:
+            texts = F.transform(texts, lambda t: rewrite(t, rest))
+    return texts
 
 
 def clean_text(text: Column, remove_quotes: bool = False) -> Column:
@@ -92,6 +100,17 @@ def opens_with_pronoun(text: Column) -> Column:
     return F.lower(F.regexp_extract(text, r"^\W*(\w+)", 1)).isin(rules.PRONOUNS) & ~first_words(text).isin(rules.KEPT_OPENINGS)
 
 
+def lacks_subject(text: Column) -> Column:
+    """Begins with a bare verb, or has no word that could be a subject's verb: a guess in place of a parser."""
+    first = F.lower(F.regexp_extract(text, r"^\W*(\w+)", 1))
+    return first.isin(rules.BARE_OPENERS) | ~text.rlike(rules.FINITE)
+
+
+def remove_appositives(text: Column) -> Column:
+    """Takes out ", a ..., " after a capitalised word: a guess in place of a parser."""
+    return rewrite(text, rules.APPOSITIVES)
+
+
 def trim_sentence(text: Column) -> Column:
     return rewrite(text, rules.TRIM)
 

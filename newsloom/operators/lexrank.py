@@ -6,7 +6,7 @@ p'_j = (1 - d) * x_j . (sum of p_i / rowsum_i * x_i) + d * bias_j: two aggregati
 
 from __future__ import annotations
 
-import itertools
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from newsloom.operators.storage import cut
 
 KEY = ["topic_id", "id", "sent_index"]
+#: Rounds after which an iteration that doesn't converge ends; with damping 0.4 a few dozen are enough.
+MOST_ROUNDS = 200
 
 
 def unit_vectors(tokens: DataFrame, docset: DataFrame, idf_table: DataFrame) -> DataFrame:
@@ -30,14 +32,29 @@ def row_sums(vectors: DataFrame) -> DataFrame:
     return vectors.join(sums, ["topic_id", "word"]).groupBy(*KEY).agg(F.sum(F.col("w") * F.col("c")).alias("total"))
 
 
-def similarities(vectors: DataFrame, most_sentences: int = 400) -> DataFrame:
-    """(topic_id, a, a_index, b, b_index, similarity) of sentences that share a word, a topic's sentences in blocks:
-    for thresholds, which need the matrix. Only topics of at most most_sentences sentences; use row_sums else."""
-    small = vectors.select(*KEY).distinct().groupBy("topic_id").agg(F.count("*").alias("n")).where(F.col("n") <= most_sentences).select("topic_id")
-    v = vectors.join(small, "topic_id", "left_semi")
-    a = v.select("topic_id", "word", F.col("id").alias("a"), F.col("sent_index").alias("a_index"), F.col("w").alias("wa"))
-    b = v.select("topic_id", "word", F.col("id").alias("b"), F.col("sent_index").alias("b_index"), F.col("w").alias("wb"))
-    return a.join(b, ["topic_id", "word"]).groupBy("topic_id", "a", "a_index", "b", "b_index").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity"))
+def adjacency(vectors: DataFrame, threshold: float) -> DataFrame:
+    """(topic_id, a, b), a <= b: sentences (id, sent_index) of a topic more similar than the threshold, a sentence itself
+    among them. The pairs are the result here; only sentences that share a word meet, and their products are summed on
+    the map side before pairs are shuffled."""
+    side = lambda s: vectors.select("topic_id", "word", F.struct("id", "sent_index").alias(s), F.col("w").alias(f"w{s}"))
+    pairs = side("a").join(side("b"), ["topic_id", "word"]).where("a <= b").groupBy("topic_id", "a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity"))
+    return pairs.where(F.col("similarity") > threshold).select("topic_id", "a", "b")
+
+
+def threshold_lexrank(vectors: DataFrame, bias: DataFrame | None, threshold: float, damping: float = 0.4, rounds: int | None = None) -> DataFrame:
+    """lexrank over 0/1 adjacency by a threshold: a sentence hands its score in equal parts to those it is linked with,
+    itself among them."""
+    half = adjacency(vectors, threshold)
+    both = half.unionByName(half.where("a <> b").select("topic_id", F.col("b").alias("a"), F.col("a").alias("b")))
+    edges = cut(both.select("topic_id", F.col("a.id").alias("id"), F.col("a.sent_index").alias("sent_index"), F.col("b.id").alias("to_id"), F.col("b.sent_index").alias("to_index")))
+    nodes = edges.groupBy(*KEY).agg(F.count("*").cast("double").alias("total"))
+    nodes = cut(_starts(nodes, bias))
+
+    def spread(nodes: DataFrame) -> DataFrame:
+        out = edges.join(nodes.select(*KEY, (F.col("p") / F.col("total")).alias("f")), KEY)
+        return out.groupBy("topic_id", F.col("to_id").alias("id"), F.col("to_index").alias("sent_index")).agg(F.sum("f").alias("q"))
+
+    return _iterate(nodes, spread, damping, rounds)
 
 
 def query_bias(tokens: DataFrame, docset: DataFrame, queries: DataFrame, idf_table: DataFrame) -> DataFrame:
@@ -52,26 +69,38 @@ def query_bias(tokens: DataFrame, docset: DataFrame, queries: DataFrame, idf_tab
     return raw.withColumn("bias", F.try_divide(F.col("raw"), F.sum("raw").over(Window.partitionBy("topic_id"))))
 
 
-def lexrank(vectors: DataFrame, bias: DataFrame | None, damping: float = 0.4, rounds: int | None = 8) -> DataFrame:
-    """(topic_id, id, sent_index, score): `rounds` steps of the damped iteration from the uniform start, None: until no
-    score moves by more than 1e-5 of itself and 1e-8. bias: column bias by sentence, None for uniform. Lineage is cut by checkpoint() into the cluster's shared folder."""
-    sums = row_sums(vectors)
-    n = F.count("*").over(Window.partitionBy("topic_id"))
-    nodes = sums.withColumn("n", n)
+def _starts(nodes: DataFrame, bias: DataFrame | None) -> DataFrame:
+    """Adds b, the bias as a share of the topic, and p, the uniform start."""
+    nodes = nodes.withColumn("n", F.count("*").over(Window.partitionBy("topic_id")))
     if bias is not None:
-        b = nodes.join(bias.select(*KEY, "bias"), KEY)
-        total = F.sum("bias").over(Window.partitionBy("topic_id"))
-        nodes = b.withColumn("b", F.col("bias") / total).drop("bias")
+        both = nodes.join(bias.select(*KEY, "bias"), KEY)
+        nodes = both.withColumn("b", F.col("bias") / F.sum("bias").over(Window.partitionBy("topic_id"))).drop("bias")
     else:
         nodes = nodes.withColumn("b", 1 / F.col("n"))
-    nodes = cut(nodes.select(*KEY, "total", "b", (1 / F.col("n")).alias("p")))
-    edges = cut(vectors.join(nodes.select(*KEY), KEY, "left_semi"))
-    for _ in range(rounds) if rounds is not None else itertools.count():
-        c = edges.join(nodes.select(*KEY, (F.col("p") / F.col("total")).alias("f")), KEY).groupBy("topic_id", "word").agg(F.sum(F.col("f") * F.col("w")).alias("c"))
-        step = edges.join(c, ["topic_id", "word"]).groupBy(*KEY).agg(F.sum(F.col("w") * F.col("c")).alias("q"))
-        nodes = cut(nodes.withColumnRenamed("p", "before").join(step, KEY).select(*KEY, "total", "b", "before", ((1 - damping) * F.col("q") + damping * F.col("b")).alias("p")))
+    return nodes.select(*KEY, "total", "b", (1 / F.col("n")).alias("p"))
+
+
+def _iterate(nodes: DataFrame, spread: Callable[[DataFrame], DataFrame], damping: float, rounds: int | None) -> DataFrame:
+    """The damped iteration; lineage is cut by checkpoint() into the cluster's shared folder. A sentence that is given
+    nothing keeps its bias."""
+    for _ in range(rounds) if rounds is not None else range(MOST_ROUNDS):
+        step = nodes.withColumnRenamed("p", "before").join(spread(nodes), KEY, "left")
+        nodes = cut(step.select(*KEY, "total", "b", "before", ((1 - damping) * F.coalesce("q", F.lit(0.0)) + damping * F.col("b")).alias("p")))
         moved = F.abs(F.col("p") - F.col("before")) > 1e-8 + 1e-5 * F.abs("p")
         if rounds is None and nodes.where(moved).isEmpty():
             break
         nodes = nodes.drop("before")
     return nodes.select(*KEY, F.col("p").alias("score"))
+
+
+def lexrank(vectors: DataFrame, bias: DataFrame | None, damping: float = 0.4, rounds: int | None = 8) -> DataFrame:
+    """(topic_id, id, sent_index, score): `rounds` steps of the damped iteration from the uniform start, None: until no
+    score moves by more than 1e-5 of itself and 1e-8. bias: column bias by sentence, None for uniform."""
+    nodes = cut(_starts(row_sums(vectors), bias))
+    edges = cut(vectors.join(nodes.select(*KEY), KEY, "left_semi"))
+
+    def spread(nodes: DataFrame) -> DataFrame:
+        c = edges.join(nodes.select(*KEY, F.try_divide("p", "total").alias("f")), KEY).groupBy("topic_id", "word").agg(F.sum(F.col("f") * F.col("w")).alias("c"))
+        return edges.join(c, ["topic_id", "word"]).groupBy(*KEY).agg(F.sum(F.col("w") * F.col("c")).alias("q"))
+
+    return _iterate(nodes, spread, damping, rounds)

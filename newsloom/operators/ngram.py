@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import copy
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -29,8 +32,7 @@ def probabilities(tokens: DataFrame, docset: DataFrame, n: int) -> DataFrame:
     trigrams'; sentences shorter than n lower the total. Articles are reduced before topics are joined."""
     counts = tokens.select("id", F.explode(grams(F.col("tokens"), n)).alias("gram")).groupBy("id", "gram").agg(F.count("*").alias("cnt"))
     sizes = tokens.groupBy("id").agg(F.sum(F.size("tokens") - (n - 1)).alias("total"))
-    extra = {1: 1, 2: 0, 3: -1}[n]
-    totals = sizes.join(docset, "id").groupBy("topic_id").agg((F.sum("total") + extra * F.count("*")).alias("total"))
+    totals = sizes.join(docset, "id").groupBy("topic_id").agg((F.sum("total") + EXTRA[n] * F.count("*")).alias("total"))
     per_topic = counts.join(docset, "id").groupBy("topic_id", "gram").agg(F.sum("cnt").alias("cnt"))
     return per_topic.join(totals, "topic_id").select("topic_id", "gram", "cnt", F.try_divide(F.col("cnt").cast("double"), F.col("total")).alias("p"))
 
@@ -50,21 +52,76 @@ def gram_scores(tokens: DataFrame, docset: DataFrame, probs: DataFrame, items: C
     return sums.join(sizes, ["id", "sent_index"]).select("topic_id", "id", "sent_index", (F.col("s") / F.col("size")).alias(name))
 
 
-def sentence_scores(tokens: DataFrame, docset: DataFrame, config: NgramConfig) -> DataFrame:
+#: What a headline adds to the totals of n-grams.
+EXTRA = {1: 1, 2: 0, 3: -1}
+
+
+def tagged_grams(tokens: Column, sizes: list[int]) -> Column:
+    """Structs (n, gram) of all sizes, so that one explode serves them."""
+    return F.flatten(F.array(*(_tagged(tokens, n) for n in sizes)))
+
+
+def _tagged(tokens: Column, n: int) -> Column:
+    return F.transform(grams(tokens, n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
+
+
+def gram_table(tokens: DataFrame, docset: DataFrame, sizes: list[int]) -> tuple[DataFrame, DataFrame]:
+    """Occurrences (id, sent_index, size, n, gram, k) and probabilities (topic_id, n, gram, p) of n-grams of some sizes:
+    one explode, one aggregation by sentence, from which those by article and by topic follow."""
+    each = tokens.select("id", "sent_index", F.size("tokens").alias("size"), F.explode(tagged_grams(F.col("tokens"), sizes)).alias("g"))
+    occurrences = each.groupBy("id", "sent_index", "size", F.col("g.n").alias("n"), F.col("g.gram").alias("gram")).agg(F.count("*").alias("k"))
+    counts = occurrences.groupBy("id", "n", "gram").agg(F.sum("k").alias("cnt")).join(docset, "id").groupBy("topic_id", "n", "gram").agg(F.sum("cnt").alias("cnt"))
+    articles = tokens.groupBy("id").agg(F.sum(F.size("tokens")).alias("words"), F.count("*").alias("sentences"))
+    sums = articles.join(docset, "id").groupBy("topic_id").agg(F.sum("words").alias("words"), F.sum("sentences").alias("sentences"), F.count("*").alias("articles"))
+    total = F.col("words") - (F.col("n") - 1) * F.col("sentences")
+    for n in sizes:
+        total = total + F.when(F.col("n") == n, EXTRA[n] * F.col("articles")).otherwise(0)
+    return occurrences, counts.join(sums, "topic_id").select("topic_id", "n", "gram", F.try_divide(F.col("cnt").cast("double"), total).alias("p"))
+
+
+def headline_entities(articles: DataFrame) -> DataFrame:
+    """(id, entities): runs of capitalised words of each headline, in lower case; no tagger is at hand."""
+    runs = F.regexp_extract_all("headline", F.lit(r"([A-Z][\w'-]*(?: [A-Z][\w'-]*)*)"), 1)
+    return articles.where("headline is not null").select("id", F.transform(runs, F.lower).alias("entities")).where(F.size("entities") > 0)
+
+
+def sentence_scores(tokens: DataFrame, docset: DataFrame, config: NgramConfig, queries: DataFrame | None = None, entities: DataFrame | None = None, bias: DataFrame | None = None) -> DataFrame:
     """(topic_id, id, sent_index, score): the weighted sum; terms of weight zero aren't planned; sentences without
-    tokens score 0."""
-    base = tokens.select("id", "sent_index").join(docset, "id").select("topic_id", "id", "sent_index")
+    tokens score 0 before the bias. queries: (topic_id, query_tokens); entities: of headline_entities; bias: (topic_id,
+    id, sent_index, raw), blended in as a share of its article."""
+    key = ["topic_id", "id", "sent_index"]
+    weights = {n: w for n, w in ((1, config.unigram_weight), (2, config.bigram_weight), (3, config.trigram_weight)) if w}
+    named = entities is not None and config.headline_weight
+    sizes = sorted({*weights, *((1, 2) if named else ())})
+    base = tokens.select("id", "sent_index").join(docset, "id").select(*key)
     score = F.lit(0.0)
-    for n, weight in ((1, config.unigram_weight), (2, config.bigram_weight), (3, config.trigram_weight)):
-        if weight:
-            part = gram_scores(tokens, docset, probabilities(tokens, docset, n), grams(F.col("tokens"), n), f"s{n}")
-            base = base.join(part, ["topic_id", "id", "sent_index"], "left")
-            score = score + weight * F.coalesce(f"s{n}", F.lit(0.0))
+    if sizes:
+        occurrences, probs = gram_table(tokens, docset, sizes)
+        weight = F.lit(0.0)
+        for n, w in weights.items():
+            weight = F.when(F.col("n") == n, w).otherwise(weight)
+        joined = occurrences.join(docset, "id")
+        value = weight / F.col("size")
+        if named:
+            joined = joined.join(entities.select("id", "entities"), "id", "left")
+            hits = F.when(F.col("n") <= 2, F.size(F.filter(F.coalesce("entities", F.array().cast("array<string>")), lambda e: F.contains(e, F.col("gram"))))).otherwise(0)
+            value = value + config.headline_weight * hits
+        part = joined.join(probs, ["topic_id", "n", "gram"]).groupBy(*key).agg(F.sum(F.col("p") * F.col("k") * value).alias("s"))
+        base = base.join(part, key, "left")
+        score = score + F.coalesce("s", F.lit(0.0))
     if config.cartesian_weight:
         part = gram_scores(tokens, docset, pair_probabilities(tokens, docset), pairs(F.col("tokens")), "s4", True)
-        base = base.join(part, ["topic_id", "id", "sent_index"], "left")
+        base = base.join(part, key, "left")
         score = score + config.cartesian_weight * F.coalesce("s4", F.lit(0.0))
-    return base.select("topic_id", "id", "sent_index", score.alias("score"))
+    if config.query_weight and queries is not None:
+        base = base.join(query_scores(tokens, docset, queries).withColumnRenamed("score", "s5"), key, "left")
+        score = score + config.query_weight * F.coalesce("s5", F.lit(0.0))
+    if config.bias_weight and bias is not None:
+        total = F.sum("raw").over(Window.partitionBy("topic_id", "id"))
+        share = bias.select(*key, F.coalesce(F.try_divide("raw", total), F.lit(0.0)).alias("share"))
+        base = base.join(share, key, "left")
+        score = (1 - config.bias_weight) * score + config.bias_weight * F.coalesce("share", F.lit(0.0))
+    return base.select(*key, score.alias("score"))
 
 
 def query_scores(tokens: DataFrame, docset: DataFrame, queries: DataFrame) -> DataFrame:
@@ -89,117 +146,156 @@ def best(scored: DataFrame, group: list[str], k: int) -> DataFrame:
 # ---- stateful selection: one kernel call a topic ---------------------------------------------------------------
 
 
-def _score(words: list[list[str]], p1: dict, p2: dict, config: NgramConfig) -> np.ndarray:
-    out = np.zeros(len(words))
-    for i, w in enumerate(words):
-        if w:
-            uni = sum(p1.get(x, 0.0) for x in w)
-            bi = sum(p2.get(f"{a} {b}", 0.0) for a, b in zip(w, w[1:]))
-            out[i] = (config.unigram_weight * uni + config.bigram_weight * bi) / len(w)
-    return out
-
-
-def _distributions(words: list[list[str]], n_articles: int) -> tuple[dict, dict]:
-    uni: dict[str, float] = {}
-    bi: dict[str, float] = {}
-    for w in words:
-        for x in w:
-            uni[x] = uni.get(x, 0) + 1
-        for a, b in zip(w, w[1:]):
-            bi[f"{a} {b}"] = bi.get(f"{a} {b}", 0) + 1
-    n1, n2 = sum(map(len, words)) + n_articles, sum(len(w) - 1 for w in words)
-    return {k: v / n1 for k, v in uni.items()}, {k: v / n2 for k, v in bi.items() if n2}
-
-
-def _square(p1: dict, words: list[str]) -> None:
-    for x in words:
-        if x in p1:
-            p1[x] **= 2
-
-
-def _lower(p1: dict, words: list[str], size: int) -> int:
-    """The other scheme: one count less for each token used."""
-    for x in words:
-        if x in p1:
-            p1[x] = max(0.0, p1[x] - 1 / size)
-        size = max(1, size - 1)
-    return size
-
-
-def pick_by_article(rows: pd.DataFrame, p1: dict, p2: dict, config: NgramConfig, backward: bool = False) -> dict[int, float]:
+class Scorer:
+    """The score of sentences of one topic against distributions that change as sentences are used."""
+
+    def __init__(self, rows: pd.DataFrame, config: NgramConfig):
+        words = list(rows["tokens"])
+        self.config, self.query = config, list(rows["query"].iloc[0]) if len(rows) else []
+        self.size = sum(map(len, words)) + rows["id"].nunique()
+        self.tri_size = sum(len(w) - 2 for w in words) - rows["id"].nunique()
+        self.uni = self._shares([x for w in words for x in w], self.size)
+        self.bi = self._shares([f"{a} {b}" for w in words for a, b in zip(w, w[1:])], sum(len(w) - 1 for w in words))
+        self.tri = self._shares([" ".join(x) for w in words for x in zip(w, w[1:], w[2:])], self.tri_size) if config.trigram_weight else {}
+        self.pairs = {}
+        if config.cartesian_weight:
+            both = [p for w in words for p in self._pairs(w)]
+            self.pairs = self._shares(both, len(both))
+
+    @staticmethod
+    def _shares(items: list[str], total: int) -> dict[str, float]:
+        return {k: n / total for k, n in Counter(items).items()} if total else {}
+
+    @staticmethod
+    def _pairs(words: list[str]) -> list[str]:
+        return [f"{b} {a}" for a in words for b in words if a != b]
+
+    def one(self, words: list[str], entities: list[str]) -> float:
+        """The weighted sum. With the scheme before_selection each n-gram that is scored loses one count at once, so the
+        next sentence meets lower values; they may fall below zero."""
+        c = self.config
+        if not words:
+            return 0.0
+        lower = c.reweight_scheme == "before_selection"
+        total = 0.0
+        if c.unigram_weight > 0:
+            total += c.unigram_weight * sum(self.uni.get(x, 0.0) for x in words) / len(words)
+            for x in words if lower else ():
+                if self.size > 0:
+                    self.uni[x] = self.uni.get(x, 0.0) - 1 / self.size
+                    self.size -= 1
+        if c.bigram_weight > 0:
+            total += c.bigram_weight * sum(self.bi.get(f"{a} {b}", 0.0) for a, b in zip(words, words[1:])) / len(words)
+        if c.trigram_weight > 0:
+            three = [" ".join(x) for x in zip(words, words[1:], words[2:])]
+            total += c.trigram_weight * sum(self.tri.get(x, 0.0) for x in three) / len(words)
+            for x in three if lower and self.tri_size > 0 else ():
+                self.tri[x] = self.tri.get(x, 0.0) - 1 / self.tri_size
+        if c.headline_weight > 0:
+            two = [f"{a} {b}" for a, b in zip(words, words[1:])]
+            total += c.headline_weight * sum(sum(self.uni.get(x, 0.0) for x in words if x in e) + sum(self.bi.get(x, 0.0) for x in two if x in e) for e in entities)
+        if c.cartesian_weight > 0:
+            both = self._pairs(words)
+            total += c.cartesian_weight * sum(self.pairs.get(x, 0.0) for x in both) / len(both) if both else 0.0
+        if c.query_weight > 0:
+            held = set(words)
+            total += c.query_weight * sum(x in held for x in self.query) / len(words)
+        return total
+
+    def used(self, words: list[str]) -> None:
+        """The scheme sumbasic squares a word's probability at each of its places in a sentence that is visited."""
+        if self.config.reweight_scheme == "sumbasic":
+            for x in words:
+                if x in self.uni:
+                    self.uni[x] **= 2
+
+    def restored(self, start: Scorer) -> None:
+        self.uni, self.bi = dict(start.uni), dict(start.bi)
+
+
+def pick_by_article(rows: pd.DataFrame, scorer: Scorer, backward: bool = False) -> dict[int, float]:
     """Articles in order: score once, drop the lowest removable sentences while more than N remain, then go down the
-    scores; every sentence visited is re-weighted, N that aren't removable are kept."""
-    out: dict[int, float] = {}
-    size = sum(map(len, rows["tokens"]))
+    scores; every sentence visited is re-weighted, N that aren't removable are kept. Ties: the earlier one first."""
+    c, out = scorer.config, {}
     for article in sorted(rows["id"].unique(), reverse=backward):
         part = rows[rows["id"] == article]
-        scores = _score(list(part["tokens"]), p1, p2, config)
-        order = sorted(range(len(part)), key=lambda i: -scores[i])
+        raw = part["raw"].fillna(0.0).to_numpy(float)
+        bias = raw / raw.sum() if raw.sum() else raw
+        scores = [(1 - c.bias_weight) * scorer.one(w, e) + c.bias_weight * x for w, e, x in zip(part["tokens"], part["entities"], bias)]
         flags = part["removable"].to_numpy()
-        left = len(order)
-        for i in reversed(order[:]):
-            if left <= config.num_sents_per_article:
-                break
-            if flags[i]:
-                order.remove(i)
-                left -= 1
+        order = sorted(range(len(part)), key=lambda i: scores[i])
+        spare = max(0, len(order) - c.num_sents_per_article)
+        gone = set([i for i in order if flags[i]][:spare])
         kept = 0
-        for i in order:
-            if kept >= config.num_sents_per_article:
+        for i in sorted((i for i in order if i not in gone), key=lambda i: scores[i], reverse=True):
+            if kept == c.num_sents_per_article:
                 break
-            words = part["tokens"].iloc[i]
-            if config.reweight_scheme == "sumbasic":
-                _square(p1, words)
-            else:
-                size = _lower(p1, words, size)
+            scorer.used(part["tokens"].iloc[i])
             if not flags[i]:
                 out[part.index[i]] = float(scores[i])
                 kept += 1
     return out
 
 
-def pick_globally(rows: pd.DataFrame, p1: dict, p2: dict, config: NgramConfig) -> dict[int, float]:
-    """Again and again the best remaining sentence of the topic (ties: the earliest), re-weighted after each."""
-    left, out = list(range(len(rows))), {}
+def pick_globally(rows: pd.DataFrame, scorer: Scorer) -> dict[int, float]:
+    """Again and again the best remaining sentence of the topic (ties: the earliest), re-weighted after each; the picks'
+    scores as shares of their sum, the bias added. Sentences are scored anew only where a word of theirs was used, but
+    for before_selection, where scoring itself changes the distributions."""
+    c, left, out = scorer.config, len(rows), {}
     words = list(rows["tokens"])
-    scores = _score(words, p1, p2, config)
+    every = c.reweight_scheme == "before_selection"
+    alive = np.ones(left, bool)
+    scores = np.full(left, -np.inf) if every else np.array([scorer.one(w, []) for w in words])
     where: dict[str, list[int]] = {}
     for i, w in enumerate(words):
         for x in set(w):
             where.setdefault(x, []).append(i)
-    alive = np.ones(len(rows), bool)
-    for _ in range(min(config.num_sents_per_glob, len(left))):
+    for _ in range(min(c.num_sents_per_glob, left)):
+        if every:
+            for j in np.flatnonzero(alive):
+                scores[j] = scorer.one(words[j], [])
         i = int(np.argmax(np.where(alive, scores, -np.inf)))
         out[rows.index[i]] = float(scores[i])
         alive[i] = False
-        _square(p1, words[i])
-        touched = sorted({j for x in set(words[i]) for j in where[x] if alive[j]})  # only these change
-        if touched:
-            scores[touched] = _score([words[j] for j in touched], p1, p2, config)
+        scorer.used(words[i])
+        if c.reweight_scheme == "sumbasic":
+            for j in sorted({j for x in set(words[i]) for j in where[x] if alive[j]}):
+                scores[j] = scorer.one(words[j], [])
     total = sum(out.values())
-    return {k: v / total if total else 0.0 for k, v in out.items()}
+    raw = rows["raw"].fillna(0.0)
+    bias = raw / raw.sum() if raw.sum() else raw
+    return {k: (v / total if total else 0.0) + c.bias_weight * float(bias[k]) for k, v in out.items()}
 
 
 PICKED = "topic_id string, id string, sent_index long, score double"
 
 
-def select_stateful(tokens: DataFrame, docset: DataFrame, config: NgramConfig) -> DataFrame:
-    """(topic_id, id, sent_index, score) by the stateful schemes. tokens: with removable. The state runs through the
-    sentences of a topic, so a topic is one call; only its id, tokens and flags go there."""
+def select_stateful(tokens: DataFrame, docset: DataFrame, config: NgramConfig, queries: DataFrame | None = None, entities: DataFrame | None = None, bias: DataFrame | None = None) -> DataFrame:
+    """(topic_id, id, sent_index, score) by the stateful schemes. tokens: with removable; the others as sentence_scores.
+    The state runs through the sentences of a topic, so a topic is one call; only what scores need goes there."""
+    none = F.array().cast("array<string>")
+    rows = tokens.select("id", "sent_index", "tokens", "removable").join(docset, "id")
+    rows = rows.join(bias.select("topic_id", "id", "sent_index", "raw"), ["topic_id", "id", "sent_index"], "left") if bias is not None and config.bias_weight else rows.withColumn("raw", F.lit(None).cast("double"))
+    rows = rows.join(entities.select("id", F.col("entities").alias("ents")), "id", "left") if entities is not None and config.headline_weight else rows.withColumn("ents", none)
+    rows = rows.join(queries.select("topic_id", F.col("query_tokens").alias("asked")), "topic_id", "left") if queries is not None and config.query_weight else rows.withColumn("asked", none)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["id", "sent_index"]).reset_index(drop=True)
-        rows["tokens"] = [list(t) for t in rows["tokens"]]
-        p1, p2 = _distributions(list(rows["tokens"]), rows["id"].nunique())
+        for c in ("tokens", "entities", "query"):
+            rows[c] = [list(t) for t in rows[c]]
+        scorer = Scorer(rows, config)
         if config.grouping == "glob":
-            got = pick_globally(rows, dict(p1), p2, config)
+            got = pick_globally(rows, scorer)
         else:
-            got = pick_by_article(rows, dict(p1), p2, config)
+            start = copy.copy(scorer)
+            start.restored(scorer)
+            got = pick_by_article(rows, scorer)
             if config.forward_backward:
-                back = pick_by_article(rows, dict(p1), p2, config, True)
+                scorer.restored(start)
+                back = pick_by_article(rows, scorer, True)
                 got = {k: (got.get(k, 0.0) + back.get(k, 0.0)) / 2 for k in {**got, **back}}
         keep = rows.loc[sorted(got)]
         return pd.DataFrame({"topic_id": keep["topic_id"], "id": keep["id"], "sent_index": keep["sent_index"], "score": [got[k] for k in sorted(got)]})
 
-    return tokens.select("id", "sent_index", "tokens", "removable").join(docset, "id").groupBy("topic_id").applyInPandas(run, PICKED)
-
+    rows = rows.select("topic_id", "id", "sent_index", "tokens", "removable", "raw", F.coalesce("ents", none).alias("entities"), F.coalesce("asked", none).alias("query"))
+    return rows.groupBy("topic_id").applyInPandas(run, PICKED)

@@ -5,12 +5,16 @@ Candidates are (topic_id, id, sent_index, score, text), at most a few dozen a to
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.config import WORD_QUOTA, RealizationConfig
 from newsloom.functions import text as T
+from newsloom.operators.storage import written
 
 
 def _rank() -> Window:
@@ -65,9 +69,20 @@ def _words(text: str) -> list[str]:
     return text[:-1].lower().replace("-", " ").split(" ")
 
 
-def remove_redundant(candidates: DataFrame, threshold: float = 0.74, quota: int = WORD_QUOTA) -> DataFrame:
+def _cosine(a, b) -> float:
+    """Of two rows' unit vectors; 0 where one has none."""
+    return float(sum(x * y for x, y in zip(a["vector"], b["vector"]))) if a["vector"] is not None and b["vector"] is not None else 0.0
+
+
+def remove_redundant(candidates: DataFrame, threshold: float = 0.74, quota: int = WORD_QUOTA, similarity=None, similar: float = 0.95) -> DataFrame:
     """Adds kept: greedy, best first; a sentence removes any other that it covers, until the words above the quota
-    are gone. One call a topic of a few dozen rows."""
+    are gone. One call a topic of a few dozen rows.
+
+    similarity: a function of two rows (text, and vector where candidates have that column) -> how alike they are, or
+    None; a sentence also removes those more alike than `similar`. Vectors (of unit length) are compared by default."""
+    names = ["topic_id", "id", "sent_index", "score", "text"]
+    more = ["vector"] if "vector" in candidates.columns else []
+    alike = similarity or (_cosine if more else None)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["score", "id", "sent_index"], ascending=[False, True, True]).reset_index(drop=True)
@@ -81,14 +96,13 @@ def remove_redundant(candidates: DataFrame, threshold: float = 0.74, quota: int
             for j in range(len(rows)):
                 if dropped >= spare:
                     break
-                if j != i and j not in gone and len(sets[i] & sets[j]) / len(lists[j]) > threshold:
+                if j != i and j not in gone and (len(sets[i] & sets[j]) / len(lists[j]) > threshold or alike is not None and (alike(rows.iloc[i], rows.iloc[j]) or 0.0) > similar):
                     gone.add(j)
                     dropped += n[j]
         rows["kept"] = [k not in gone for k in range(len(rows))]
-        return rows
+        return rows[[*names, "kept"]]
 
-    names = ["topic_id", "id", "sent_index", "score", "text"]
-    return candidates.select(*names).groupBy("topic_id").applyInPandas(run, "topic_id string, id string, sent_index long, score double, text string, kept boolean")
+    return candidates.select(*names, *more).groupBy("topic_id").applyInPandas(run, "topic_id string, id string, sent_index long, score double, text string, kept boolean")
 
 
 def pack(candidates: DataFrame, quota: int = WORD_QUOTA) -> DataFrame:
@@ -117,27 +131,45 @@ def extra(packed: DataFrame, removed: DataFrame, threshold: float = 0.84, quota:
     return free.withColumn("k", F.row_number().over(_rank())).where("k = 1").select("topic_id", "id", "sent_index", "score", "text")
 
 
-def realize(candidates: DataFrame, config: RealizationConfig) -> DataFrame:
-    """All steps in their order: (topic_id, id, sent_index, score, text) of the sentences that make up the summary."""
+def steps_of(config: RealizationConfig) -> list[tuple[str, Callable[[DataFrame], DataFrame]]]:
+    """The filters and rewrites before redundancy is judged, by name, in their order."""
+    text = F.col("text")
+    drop = lambda match: lambda df: removal_step(df, match)
+    steps = [
+        (config.remove_quotes, "quotes", drop(T.contains_quote(text))),
+        (config.remove_questions, "questions", drop(question(text))),
+        (config.remove_pronoun_openings, "pronouns", drop(T.opens_with_pronoun(text))),
+        (config.remove_subjectless, "subjectless", drop(T.lacks_subject(text))),
+        (bool(config.remove_full_spans_that_match), "spans", drop(full_match(text, config.remove_full_spans_that_match))),
+        (True, "fragments", drop(fragment(text))),
+        (config.remove_sentence_initial_terms, "openers", lambda df: rewrite_over_quota(df, T.trim_sentence)),
+        (config.remove_appositives, "appositives", lambda df: rewrite_over_quota(df, T.remove_appositives)),
+        (config.remove_attributions, "attributions", lambda df: df.withColumn("text", T.remove_attribution(text))),
+        (bool(config.remove_subspans_that_match), "subspans", lambda df: rewrite_over_quota(df, lambda t: T.rewrite(t, [(p, "") for p in config.remove_subspans_that_match]))),
+    ]
+    return [(name, step) for on, name, step in steps if on]
+
+
+def realize(candidates: DataFrame, config: RealizationConfig, similarity=None, vectors=None) -> DataFrame:
+    """All steps in their order: (topic_id, id, sent_index, score, text) of the sentences that make up the summary.
+    similarity: as in remove_redundant; vectors: a function that adds a column vector to candidates. What was judged is
+    kept, as three steps read it."""
     df = candidates
-    if config.remove_quotes:
-        df = removal_step(df, T.contains_quote(F.col("text")))
-    if config.remove_questions:
-        df = removal_step(df, question(F.col("text")))
-    if config.remove_pronoun_openings:
-        df = removal_step(df, T.opens_with_pronoun(F.col("text")))
-    if config.remove_full_spans_that_match:
-        df = removal_step(df, full_match(F.col("text"), config.remove_full_spans_that_match))
-    df = removal_step(df, fragment(F.col("text")))
-    if config.remove_sentence_initial_terms:
-        df = rewrite_over_quota(df, T.trim_sentence)
-    if config.remove_attributions:
-        df = df.withColumn("text", T.remove_attribution(F.col("text")))
-    if config.remove_subspans_that_match:
-        df = rewrite_over_quota(df, lambda t: T.rewrite(t, [(p, "") for p in config.remove_subspans_that_match]))
-    judged = remove_redundant(df.where("trim(text) <> ''"), config.overlap_threshold)
+    for _, step in steps_of(config):
+        df = step(df)
+    df = df.where("trim(text) <> ''")
+    judged = written(remove_redundant(vectors(df) if vectors else df, config.overlap_threshold, similarity=similarity, similar=config.similarity_threshold), "judged")
     kept, removed = judged.where("kept").drop("kept"), judged.where("not kept").drop("kept")
     kept = removal_step(kept, T.words_in(F.col("text")) <= config.minimum_sentence_length)
     kept = kept.withColumn("text", T.clean_up(F.col("text")))
     packed = pack(kept)
     return packed.where("packed").drop("packed").unionByName(extra(packed, removed, config.extra_overlap))
+
+
+def changes(candidates: DataFrame, config: RealizationConfig) -> DataFrame:
+    """(topic_id, place, step, sentences, words) after each filter and rewrite, place 0 before all: what they did."""
+    df, parts = candidates, []
+    for place, (name, step) in enumerate([("start", lambda d: d), *steps_of(config)]):
+        df = step(df)
+        parts.append(df.groupBy("topic_id").agg(F.count("*").alias("sentences"), F.sum(T.words_in(F.col("text"))).alias("words")).select("topic_id", F.lit(place).cast("long").alias("place"), F.lit(name).alias("step"), "sentences", "words"))
+    return reduce(DataFrame.unionByName, parts)

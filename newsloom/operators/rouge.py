@@ -9,35 +9,45 @@ from newsloom.functions import text as T
 from newsloom.operators.ngram import grams
 
 
-def first_tokens(text: Column, limit: int = 100) -> Column:
-    """Lower-cased tokens of the first `limit` words."""
-    return T.tokens(F.array_join(F.slice(F.split(F.trim(text), r"\s+"), 1, limit), " "))
+def first_tokens(text: Column, limit: int = 100, stop_words: list[str] | None = None, stem=None) -> Column:
+    """Lower-cased tokens of the first `limit` words, without stop words; stem: a function of a token column."""
+    out = T.tokens(F.array_join(F.slice(F.split(F.trim(text), r"\s+"), 1, limit), " "))
+    if stop_words:
+        out = F.filter(out, lambda t: ~t.isin(stop_words))
+    return F.transform(out, stem) if stem else out
+
+
+def plural_stem(token: Column) -> Column:
+    """A light stem: plural and participle endings go where three letters stay before them."""
+    return F.regexp_replace(token, r"^(\w{3,}?)(?:ies|ied|ing|ed|es|s|ly)$", "$1")
 
 
 def pair_scores(peers: DataFrame, models: DataFrame, n: int) -> DataFrame:
-    """(topic_id, model_id, r, p, f) of peers (topic_id, tokens) against models (topic_id, model_id, tokens)."""
-    pc = peers.select("topic_id", F.explode(grams(F.col("tokens"), n)).alias("g")).groupBy("topic_id", "g").agg(F.count("*").alias("cp"))
+    """(topic_id, peer_id, model_id, r, p, f) of peers (topic_id, peer_id, tokens), several of a topic each by itself,
+    against models (topic_id, model_id, tokens)."""
+    pc = peers.select("topic_id", "peer_id", F.explode(grams(F.col("tokens"), n)).alias("g")).groupBy("topic_id", "peer_id", "g").agg(F.count("*").alias("cp"))
     mc = models.select("topic_id", "model_id", F.explode(grams(F.col("tokens"), n)).alias("g")).groupBy("topic_id", "model_id", "g").agg(F.count("*").alias("cm"))
-    hits = mc.join(pc, ["topic_id", "g"]).groupBy("topic_id", "model_id").agg(F.sum(F.least("cp", "cm")).alias("hits"))
-    size = lambda df, c: df.withColumn(c, F.greatest(F.size("tokens") - (n - 1), F.lit(0)))
-    sizes = size(models, "nm").join(size(peers, "np").select("topic_id", "np"), "topic_id").select("topic_id", "model_id", "nm", "np")
-    out = sizes.join(hits, ["topic_id", "model_id"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)).cast("double"))
+    key = ["topic_id", "peer_id", "model_id"]
+    hits = mc.join(pc, ["topic_id", "g"]).groupBy(*key).agg(F.sum(F.least("cp", "cm")).alias("hits"))
+    size = lambda df, c: df.withColumn(c, F.greatest(F.size("tokens") - (n - 1), F.lit(0))).drop("tokens")
+    sizes = size(models.select("topic_id", "model_id", "tokens"), "nm").join(size(peers.select("topic_id", "peer_id", "tokens"), "np"), "topic_id")
+    out = sizes.join(hits, key, "left").withColumn("hits", F.coalesce("hits", F.lit(0)).cast("double"))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return out.select("topic_id", "model_id", zero(F.try_divide("hits", "nm")).alias("r"), zero(F.try_divide("hits", "np")).alias("p"), zero(F.try_divide(2 * F.col("hits"), F.col("nm") + F.col("np"))).alias("f"))
+    return out.select(*key, zero(F.try_divide("hits", "nm")).alias("r"), zero(F.try_divide("hits", "np")).alias("p"), zero(F.try_divide(2 * F.col("hits"), F.col("nm") + F.col("np"))).alias("f"))
 
 
 def per_topic(scores: DataFrame, best: bool = False) -> DataFrame:
     """A peer's score: the mean over its models, or the best model by F."""
     pick = (lambda c: F.max_by(c, F.struct("f", "model_id"))) if best else F.avg
-    return scores.groupBy("topic_id").agg(*(pick(c).alias(c) for c in "rpf"))
+    return scores.groupBy("topic_id", "peer_id").agg(*(pick(c).alias(c) for c in "rpf"))
 
 
 def bootstrap(topic_scores: DataFrame, rounds: int = 1000, seed: int = 7) -> DataFrame:
-    """(metric, mean, low, high): 95 % intervals over resamples; each topic draws its number of copies per round from a
+    """(metric, mean, low, high): 95 % intervals over resamples; each peer of a topic draws its number of copies per round from a
     Poisson distribution by hash, so no resample is gathered anywhere."""
     k = F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round")
-    df = topic_scores.select("topic_id", F.expr("stack(3, 'r', r, 'p', p, 'f', f) as (metric, x)")).select("*", k)
-    u = (F.pmod(F.xxhash64("topic_id", "round", F.lit(seed)), F.lit(1 << 30)) / (1 << 30)).alias("u")
+    df = topic_scores.select("topic_id", "peer_id", F.expr("stack(3, 'r', r, 'p', p, 'f', f) as (metric, x)")).select("*", k)
+    u = (F.pmod(F.xxhash64("topic_id", "peer_id", "round", F.lit(seed)), F.lit(1 << 30)) / (1 << 30)).alias("u")
     cuts = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
     copies = sum((F.when(F.col("u") >= c, 1).otherwise(0) for c in cuts), F.lit(0))
     df = df.select("*", u).withColumn("n", copies)

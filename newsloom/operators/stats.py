@@ -6,24 +6,58 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as T
+from newsloom.operators.storage import written
+
+
+def _words(articles: DataFrame, stop_words: list[str], remove_quotes: bool = True) -> DataFrame:
+    """(id, words): tokens worth counting of each article, cleaned as one text; no shuffle. Other columns stay."""
+    whole = F.array_join(F.filter(F.coalesce("paragraphs", F.array().cast("array<string>")), lambda p: p.isNotNull()), " ")
+    bare = F.transform(F.split(T.clean_text(whole, remove_quotes), " "), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+    return articles.withColumn("words", F.filter(bare, lambda w: T.countworthy(w, stop_words)))
 
 
 def article_terms(articles: DataFrame, stop_words: list[str], remove_quotes: bool = True) -> DataFrame:
     """(id, word, cnt) of tokens worth counting, from the whole article cleaned as one text. One shuffle."""
-    whole = F.array_join(F.filter(F.coalesce("paragraphs", F.array().cast("array<string>")), lambda p: p.isNotNull()), " ")
-    cleaned = articles.select("id", T.clean_text(whole, remove_quotes).alias("text"))
-    words = cleaned.select("id", F.explode(F.split("text", " ")).alias("raw"))
-    word = F.regexp_replace("raw", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    return words.select("id", word.alias("word")).where(T.countworthy(F.col("word"), stop_words)).groupBy("id", "word").agg(F.count("*").alias("cnt"))
+    return _words(articles, stop_words, remove_quotes).select("id", F.explode("words").alias("word")).groupBy("id", "word").agg(F.count("*").alias("cnt"))
+
+
+def vocabulary(terms: DataFrame) -> DataFrame:
+    """(word, number): words in their order, numbered from 0. The order is that of a sorted table's files, so no task
+    sees all words."""
+    words = written(terms.select("word").where("word is not null").distinct().orderBy("word"), "vocabulary")
+    placed = words.select("word", F.input_file_name().alias("file"), F.col("_metadata.row_index").alias("row"))
+    sizes = placed.groupBy("file").agg(F.min("word").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # of files
+    starts = sizes.select(F.col("file").alias("at"), before.alias("before"))
+    return placed.join(F.broadcast(starts), F.col("file") == F.col("at")).select("word", (F.col("row") + F.col("before")).alias("number"))
+
+
+def document_frequencies(articles: DataFrame, stop_words: list[str], group: list[str] | None = None) -> DataFrame:
+    """(*group, word, df, n): articles that hold a word, and n of all articles with a counted word, by one aggregation:
+    each such article also counts for the word "", which no article has. Kept, since n is looked up in it."""
+    group = group or []
+    words = F.when(F.size("words") > 0, F.concat(F.array_distinct("words"), F.array(F.lit(""))))
+    each = _words(articles, stop_words).select(*group, F.explode(words).alias("word"))
+    counts = written(each.groupBy(*group, "word").agg(F.count("*").alias("df")), "frequencies")
+    n = counts.where("word = ''").select(*group, F.col("df").alias("n"))
+    counts = counts.where("word <> ''")
+    return counts.join(F.broadcast(n), group) if group else counts.crossJoin(F.broadcast(n))  # one row a group
+
+
+def idf_of(frequencies: DataFrame, merge: str = "last", group: list[str] | None = None) -> DataFrame:
+    """(*group, word, df, idf): ln(n / df) by lower-cased word of document_frequencies. Spellings that differ in case:
+    merge="last" keeps the one that sorts last, "sum" adds them up."""
+    group = group or []
+    low = frequencies.groupBy(*group, F.lower("word").alias("word")).agg((F.max_by("df", "word") if merge == "last" else F.sum("df")).alias("df"), F.max("n").alias("n"))
+    return low.select(*group, "word", "df", F.log(F.col("n") / F.col("df")).alias("idf"))
 
 
 def idf(terms: DataFrame, merge: str = "last") -> DataFrame:
-    """(word, df, idf): ln(N / df) by lower-cased word, N the articles with a counted term. Spellings that differ in
-    case: merge="last" keeps the one that sorts last, "sum" adds them up. N is one row."""
-    n = terms.agg(F.count_distinct("id").alias("n"))
-    df = terms.groupBy("word").agg(F.count("*").alias("df"))
-    low = df.groupBy(F.lower("word").alias("word")).agg((F.max_by("df", "word") if merge == "last" else F.sum("df")).alias("df"))
-    return low.crossJoin(F.broadcast(n)).select("word", "df", F.log(F.col("n") / F.col("df")).alias("idf"))  # one row
+    """(word, df, idf) of a table of terms (id, word), each once an article: one more aggregation for n."""
+    each = terms.groupBy("id").agg(F.collect_list("word").alias("words"))
+    counts = written(each.select(F.explode(F.concat("words", F.array(F.lit("")))).alias("word")).groupBy("word").agg(F.count("*").alias("df")), "frequencies")
+    n = counts.where("word = ''").select(F.col("df").alias("n"))
+    return idf_of(counts.where("word <> ''").crossJoin(F.broadcast(n)), merge)  # one row
 
 
 def default_idf(n: int, smooth: bool = True) -> float:
@@ -33,20 +67,18 @@ def default_idf(n: int, smooth: bool = True) -> float:
     return math.log(n + 1) if smooth else 0.0
 
 
-def local_vocabulary(tokens: DataFrame, docset: DataFrame, idf_table: DataFrame) -> DataFrame:
-    """(topic_id, word, cnt) of words that the term table knows; articles are counted before topics are joined."""
+def local_vocabulary(tokens: DataFrame, docset: DataFrame, idf_table: DataFrame, spans: DataFrame | None = None) -> DataFrame:
+    """(topic_id, word, cnt) of words that the term table knows, over the sentences and headlines of a topic's articles
+    (tokens) and its title and narrative (spans: topic_id, tokens); articles are counted before topics are joined."""
     words = tokens.select("id", F.explode("tokens").alias("word")).groupBy("id", "word").agg(F.count("*").alias("cnt"))
-    known = words.join(idf_table.select("word"), "word", "left_semi")
-    return known.join(docset, "id").groupBy("topic_id", "word").agg(F.sum("cnt").alias("cnt"))
+    counts = words.join(docset, "id").select("topic_id", "word", "cnt")
+    if spans is not None:
+        asked = docset.select("topic_id").distinct()
+        counts = counts.unionByName(spans.join(asked, "topic_id", "left_semi").select("topic_id", F.explode("tokens").alias("word"), F.lit(1).cast("long").alias("cnt")))
+    return counts.groupBy("topic_id", "word").agg(F.sum("cnt").alias("cnt")).join(idf_table.select("word"), "word", "left_semi").select("topic_id", "word", "cnt")
 
 
 def mean_idf(tokens: DataFrame, idf_table: DataFrame) -> DataFrame:
     """(id, sent_index, mean_idf) over the tokens of each sentence that the table knows."""
     words = tokens.select("id", "sent_index", F.explode("tokens").alias("word"))
     return words.join(idf_table.select("word", "idf"), "word").groupBy("id", "sent_index").agg(F.avg("idf").alias("mean_idf"))
-
-
-def share_of_group(df: DataFrame, group: list[str], value: str, name: str) -> DataFrame:
-    """Value as a share of its group's sum."""
-    total = F.sum(value).over(Window.partitionBy(*group))
-    return df.withColumn(name, F.try_divide(F.col(value), total))

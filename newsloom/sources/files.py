@@ -31,29 +31,53 @@ def _article(article_id: Column, kind: Column, headline: Column, own: Column, pa
     return [article_id.alias("id"), article_date(article_id).alias("date"), kind.alias("type"), F.nullif(strip(headline), F.lit("")).alias("headline"), F.when(head != "", F.concat(F.array(head), parts)).otherwise(parts).alias("paragraphs")]
 
 
-def read_new_articles(spark: SparkSession, path: str) -> DataFrame:
-    """Well-formed files, plain or gzip, one DOC element an article. A gzip file is one task; store them small."""
-    df = spark.read.format("xml").option("rowTag", "DOC").schema(NEW_SCHEMA).load(path)
+def read_new_articles(spark: SparkSession, path: str | list[str], glob: str = "*") -> DataFrame:
+    """Well-formed files, one DOC element an article."""
+    df = spark.read.format("xml").option("rowTag", "DOC").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).schema(NEW_SCHEMA).load(path)
     return df.select(*_article(F.col("_id"), F.col("_type"), F.col("HEADLINE"), F.col("TEXT._VALUE"), F.col("TEXT.P")))
 
 
-def read_old_articles(spark: SparkSession, path: str) -> DataFrame:
-    """Old files, whose markup need not be well formed: records are cut by text, not by a parser."""
+def _records(spark: SparkSession, path: str | list[str], glob: str, start: str) -> DataFrame:
+    """(doc): the text of each record, cut at its end tag, not by a parser; entities replaced."""
     text = F.col("value")
-    raw = spark.read.text(path, lineSep="</DOC>").where(F.contains(text, F.lit("<DOC>")))
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, lineSep="</DOC>").where(F.contains(text, F.lit(start)))
     for entity, char in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(char))
-    raw = raw.select(text.alias("doc"))
-    tag = lambda name, c="doc": F.regexp_extract(F.col(c) if isinstance(c, str) else c, rf"(?s)<{name}>(.*?)(?:</{name}>|<(?:HEADLINE|TEXT|/BODY)>|$)", 1)
-    raw = raw.select(F.trim(tag("DOCNO")).alias("id"), F.nullif(F.trim(F.regexp_replace(tag("DOCTYPE"), r"\s+", " ")), F.lit("")).alias("type"), tag("HEADLINE").alias("headline"), F.regexp_extract("doc", r"(?s)<TEXT>(.*?)(?:</TEXT>|$)", 1).alias("text"))
-    own = F.regexp_extract("text", r"(?s)^(.*?)(?:<P>|$)", 1)
-    paras = F.regexp_extract_all(F.col("text"), F.lit(r"(?s)<P>(.*?)(?=</P>|<P>|$)"), 1)
-    return raw.where("id <> ''").select(*_article(F.col("id"), F.col("type"), F.col("headline"), own, paras))
+    return raw.select(text.alias("doc"))
 
 
-def read_articles(spark: SparkSession, path: str, form: str) -> DataFrame:
+def _tag(name: str, column: str = "doc") -> Column:
+    """The text of an element; another element, or the end, closes one that isn't closed."""
+    return F.regexp_extract(column, rf"(?s)<{name}>(.*?)(?:</{name}>|<(?:HEADLINE|TEXT|/BODY|DATELINE)>|$)", 1)
+
+
+def _paragraphs() -> tuple[Column, Column]:
+    """What TEXT holds before its first P, and its P elements."""
+    text = F.regexp_extract("doc", r"(?s)<TEXT>(.*?)(?:</TEXT>|$)", 1)
+    return F.regexp_extract(text, r"(?s)^(.*?)(?:<P>|$)", 1), F.regexp_extract_all(text, F.lit(r"(?s)<P>(.*?)(?=</P>|<P>|$)"), 1)
+
+
+def read_recovered_articles(spark: SparkSession, path: str | list[str], glob: str = "*") -> DataFrame:
+    """Files of the newer form, plain or gzip, of which records may be malformed: what can be read of each is kept. A
+    gzip file is one task; store them small."""
+    own, paras = _paragraphs()
+    mark = r'<DOC\s[^>]*?\b{}\s*=\s*"([^"]*)"'
+    article_id = F.regexp_extract("doc", mark.format("id"), 1)
+    kind = F.nullif(F.regexp_extract("doc", mark.format("type"), 1), F.lit(""))
+    return _records(spark, path, glob, "<DOC").where(article_id != "").select(*_article(article_id, kind, _tag("HEADLINE"), own, paras))
+
+
+def read_old_articles(spark: SparkSession, path: str | list[str], glob: str = "*") -> DataFrame:
+    """Old files, whose markup need not be well formed; a record is known by its DOCNO."""
+    own, paras = _paragraphs()
+    kind = F.nullif(F.trim(F.regexp_replace(_tag("DOCTYPE"), r"\s+", " ")), F.lit(""))
+    article_id = F.trim(F.regexp_replace(_tag("DOCNO"), r"\s+", " "))
+    return _records(spark, path, glob, "<DOCNO>").where(article_id != "").select(*_article(article_id, kind, _tag("HEADLINE"), own, paras))
+
+
+def read_articles(spark: SparkSession, path: str | list[str], form: str, glob: str = "*") -> DataFrame:
     """form: old, new or gz."""
-    return read_old_articles(spark, path) if form == "old" else read_new_articles(spark, path)
+    return {"old": read_old_articles, "new": read_new_articles, "gz": read_recovered_articles}[form](spark, path, glob)
 
 
 def list_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:

@@ -65,13 +65,20 @@ def file_path(corpus: Column, journal: Column, file_id: Column) -> Column:
 
 def routed(queries: DataFrame, spark: SparkSession) -> DataFrame:
     """Queries with their corpus and file: what file pruning reads. The side of a dozen rows is broadcast."""
-    q = queries.select("topic_id", "id", *(c.alias(n) for n, c in parse_id(F.col("id")).items() if n in ("journal_id", "file_id", "year")))
+    q = queries.select(*queries.columns, *(c.alias(n) for n, c in parse_id(F.col("id")).items() if n in ("journal_id", "file_id", "year")))
     return q.join(F.broadcast(corpus_by_year(spark)), "year").withColumn("path", file_path(F.col("corpus"), F.col("journal_id"), F.col("file_id")))
 
 
+def asked_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(topic_id, id, place): each row that asks for an article, with its place in the table."""
+    rows = table(spark, sf_dir, "article_queries").where("topic_id is not null and full_article_id is not null")
+    return rows.select("topic_id", F.col("full_article_id").alias("id"), F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r")).alias("place"))
+
+
 def last_topic_of_file(routed_queries: DataFrame) -> DataFrame:
-    """Strict compatibility: an article asked for by several topics of one file goes to the last topic only."""
-    return routed_queries.groupBy("path", "id").agg(F.max("topic_id").alias("topic_id"))
+    """Strict compatibility: an article asked for several times in one file goes to the topic that asks last, by place,
+    and only once."""
+    return routed_queries.groupBy("path", "id").agg(F.max_by("topic_id", "place").alias("topic_id"))
 
 
 def require_complete(docs: DataFrame, queries: DataFrame, most: int = 20) -> DataFrame:
