@@ -1,5 +1,6 @@
 import datetime
 import gzip
+import re
 
 import duckdb
 import numpy as np
@@ -8,52 +9,107 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsloom.config import Config, LexRankConfig, NgramConfig, OrderingConfig
+from newsloom.functions import rules
 from newsloom.functions import text as T
-from newsloom.operators import lexrank, ngram, order, realize, rouge, segment, stats, topics
+from newsloom.operators import lexrank, ngram, order, realize, rouge, segment, stats, storage, topics, vectors
 from newsloom.plans import catalog
 from newsloom.plans import pipeline as P
-from newsloom.sources import files, tables
+from newsloom.sources import datasets, files, tables
 
+#: A text for each rule, in the order of the rules, and what is left of it.
 CLEAN = [
-    ("LITTLETON, Colo. (AP) -- The sheriff's initial estimate.", "The sheriff's initial estimate."),
-    ("estimate of as  \nmany as 25 dead", "estimate of as many as 25 dead"),
-    ("_ The protocol obliges members.", "The protocol obliges members."),
-    ("NEW YORK _ The Rev. Al Sharpton spoke.", "The Rev. Al Sharpton spoke."),
-    ("BANGKOK, April 2 (Xinhua) -- Lynda Pasma left.", "Lynda Pasma left."),
-    ("ATLANTA -- When John left.", "When John left."),
-    ("FED-GREENSPAN (Undated) _  When John left.", "When John left."),
-    ("WEST-PALM BEACH, Fla. -- When John left.", "When John left."),
-    ("On the Net:", ""),
-    ("http://ifats.org", ""),
-    ("http://ifats.org is the Society", "http://ifats.org is the Society"),
-    ("Bob Keefe's e-mail address is bkeefecoxnews.com", ""),
-    ("Hal McCoy writes for the Dayton Daily News. E-mail: hmccoyDaytonDailyNews.com", "Hal McCoy writes for the Dayton Daily News."),
-    ("Va. Bill Targets Some 'Junk' E-Mail", "Va. Bill Targets Some 'Junk' E-Mail"),
-    ("Story Filed By Cox Newspapers", ""),
-    ("Phone: (888) 603-1036", ""),
-    ("TECHNICAL PROBLEMS:   Peter Trigg", ""),
-    ("With photo.", ""),
-    ("``It's like a prison in there,'' said Jessica Miller, 15.", "\"It's like a prison in there,\" said Jessica Miller, 15."),
-    ("___", ""),
-    ("po/pi04", ""),
-    ("With a map-graphic.", ""),
-    ("AP NewsBrief by GABRIEL MADWAY", ""),
-    ("- - - - ", ""),
-    ("(Begin optional trim)", ""),
+    ("A wet  \nroad.", "A wet road."),
+    ("A\twet road.", "A wet road."),
+    ("A wet\nroad.", "A wet road."),
+    ("A   wet road.", "A wet road."),
+    ("Here are the top news stories at noon", ""),
+    ("On the Net: a list", ""),
+    ("Reach Ann Ash, whose e-mail address is ash at paper", ""),
+    ("E-mail: ash at paper", ""),
+    ("(E-mail ash at paper)", ""),
+    ("The lake froze. E-mail ash at paper", "The lake froze."),
+    ("Story filed by Bay Wire", ""),
+    ("For use by clients only", ""),
+    ("Photos and graphics to come", ""),
+    ("Ann Ash, phone: 555 0100", "Ann Ash,"),
+    ("Ann Ash, pager: 555 0100", "Ann Ash,"),
+    ("Technical problems: Bay desk", ""),
+    ("Questions or comments to the desk", ""),
+    ("With photo of a boat.", ""),
+    ("https://bay.example/a", ""),
+    ("https://bay.example/a is the lake's page.", "https://bay.example/a is the lake's page."),
+    ("See www.bay.example", "See"),
+    ("LAKE-REPORT (Undated) The ice broke.", "The ice broke."),
+    ("It ended . . . then", "It ended. then"),
+    ("The bridge () fell.", "The bridge fell."),
+    ("SOURCES: Bay Board, staff reporting", ""),
+    ("The lake rose, staff reporting.", "The lake rose"),
+    ("By A B C.", ""),
+    ("The Washington Post Magazine. The ice broke.", "The ice broke."),
+    ("Associated Press Writers Ann Ash; Bob Bay", ""),
+    ("BAYTOWN (AP) -- The ice broke.", "The ice broke."),
+    ("BAYTOWN, May 3 (Bay) -- The ice broke.", "The ice broke."),
+    ("BAY HARBOR, Ont. -- The ice broke.", "The ice broke."),
+    ("Baytown (JP) The ice broke.", "The ice broke."),
+    ("BAY-HARBOR (Bay Wire) _ The ice broke.", "The ice broke."),
+    ("__ The ice broke.", "The ice broke."),
+    ("BAYTOWN, May 3 _ The ice broke.", "The ice broke."),
+    ("BAYTOWN -- The ice broke.", "The ice broke."),
+    ("(Bay)--The ice broke.", "The ice broke."),
+    ("Ice (JP):broke early.", "broke early."),
+    ("ab/cd12", ""),
+    ("(ab-cde/fg)", ""),
+    ("ab12", ""),
+    ("nn", ""),
+    ("- - -", ""),
+    ("....", ""),
+    ("BAY-LAKE-ICE-NEWS The ice broke.", "The ice broke."),
+    ("The ice _ broke.", "The icebroke."),
+    ("With a map-graphic", ""),
+    ("Bay NewsBrief by Ann Ash", ""),
     ("ENDIT", ""),
-    ("SOURCES: Epa chesapeake bay program, staff reporting", ""),
-    ("www.nejm.org", ""),
-    ("sn-sjs", ""),
-    ("(mb-mn/pp)", ""),
-    ("js04", ""),
-    ("BKN-PREVIEW-WEST (Undated) There is a", "There is a"),
+    ("(Begin optional trim)", ""),
+    ("(Optional add end)", ""),
+    ("(STORY CAN END HERE. OPTIONAL MATERIAL FOLLOWS)", ""),
+    ("Illness Not Otherwise Specified rose.", "not otherwise specified rose."),
+    ("The Bay Board (BB) met.", "The Bay Board met."),
+    ("It was `cold` there.", "It was 'cold' there."),
+    ("He said ``it was 'cold''' then.", "He said \"it was 'cold'\" then."),
+    ("``Ice,'' he said.", '"Ice," he said.'),
+    ('Ice, " he said.', 'Ice," he said.'),
+    ('Stop!" he said.', 'Stop!", he said.'),
 ]
+#: Rules that an earlier one leaves nothing to.
+IDLE = {r"(?i)^\s*With photo.", r"https?://www.{4,100}$", r"\( \) --"}
 
 
 def test_clean_text(spark):
     df = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(CLEAN)], "i int, t string")
     got = {r.i: r.c for r in df.select("i", T.clean_text(F.col("t")).alias("c")).collect()}
     assert [got[i] for i in range(len(CLEAN))] == [b for _, b in CLEAN]
+    df = spark.createDataFrame([("It's an 'icy' \"day\" here.",)], "t string")
+    assert df.select(T.clean_text(F.col("t"), True)).first()[0] == "It's an icy day here."
+
+
+def test_each_cleaning_rule_has_an_example_and_a_sound_guard():
+    fired = set()
+    for text in [a for a, _ in CLEAN] + ["It's an 'icy' \"day\" here."]:
+        for pattern, replacement in rules.cleaning(True):
+            new = re.sub(pattern, replacement, text)
+            if new != text:
+                fired.add(pattern)
+                assert pattern not in rules.NEEDS or re.search(rules.NEEDS[pattern], text), pattern
+                group = next(g for g, steps in [*rules.GROUPS, (rules.QUOTE_GUARD, rules.NO_QUOTES)] if (pattern, replacement) in steps)
+                assert re.search(group, text), (pattern, text)
+            text = new
+    assert {p for p, _ in rules.cleaning(True)} - fired == IDLE
+
+
+def test_guards_change_nothing(spark):
+    """Whole articles, cleaned with and without the guards."""
+    a = spark.read.parquet("/root/testdata/sf0.001/articles.parquet").select(F.array_join("paragraphs", " ").alias("t")).where("t is not null")
+    rows = a.select(T.clean_text(F.col("t"), True).alias("x"), F.trim(T.rewrite(F.col("t"), rules.cleaning(True))).alias("y")).collect()
+    assert rows and all(r.x == r.y for r in rows)
 
 
 def test_countworthy(spark):
@@ -125,11 +181,13 @@ def test_chronological_order():
     assert [rows["name"][k] for k in at] == ["a", "e", "b", "c", "f", "d"]
 
 
-def test_rouge_clips(spark):
-    p = spark.createDataFrame([("t", ["a", "a", "b"])], "topic_id string, tokens array<string>")
+def test_rouge_clips_and_keeps_peers_apart(spark):
+    p = spark.createDataFrame([("t", "one", ["a", "a", "b"]), ("t", "two", ["c"])], "topic_id string, peer_id string, tokens array<string>")
     m = spark.createDataFrame([("t", "m", ["a", "b", "c", "d"])], "topic_id string, model_id string, tokens array<string>")
-    r = rouge.pair_scores(p, m, 1).first()
-    assert (r.r, r.p) == (0.5, pytest.approx(2 / 3))
+    r = {x.peer_id: (x.r, x.p) for x in rouge.pair_scores(p, m, 1).collect()}
+    assert r == {"one": (0.5, pytest.approx(2 / 3)), "two": (0.25, 1.0)}
+    df = spark.createDataFrame([("The boats sailed on the lakes",)], "t string")
+    assert df.select(rouge.first_tokens(F.col("t"), 5, ["the"], rouge.plural_stem)).first()[0] == ["boat", "sail", "on"]
 
 
 def test_ids_and_paths(spark):
@@ -183,17 +241,133 @@ def test_query_equals_sql(spark, name):
 
 def test_config_is_json():
     assert '"max_sentences": 20' in Config().to_json()
+    made = Config(ngram=NgramConfig(bias_weight=0.5), realization=realize.RealizationConfig(remove_subspans_that_match=("x",)))
+    assert Config.from_json(made.to_json()) == made and Config.from_dict({"method": "select_lda"}).method == "select_lda"
+    with pytest.raises(TypeError):
+        Config.from_dict({"ngram": {"none": 1}})
 
 
 def test_headlines_are_candidates_of_the_graph(spark):
     sf = "/root/testdata/sf0.001"
-    tok = P.tokens(spark, sf)
-    heads = P.headline_tokens(spark, sf)
-    assert heads.count() > 0 and heads.where("sent_index <> -1").count() == 0
-    picked = P.select(tok.unionByName(heads), tables.docset(spark, sf), tables.topics(spark, sf), P.stop_words(spark, sf), Config(method="select_lexrank", max_sentences=10_000, lexrank=LexRankConfig(rounds=1)))
-    assert picked.where("sent_index = -1").count() > 0
+    tok = P.tokens(spark, sf, headlines=True)
+    assert tok.where("sent_index = -1").count() > 0
+    stop, docset, about = P.stop_words(spark, sf), tables.docset(spark, sf), tables.topics(spark, sf)
+    graph = lambda **k: Config(method="select_lexrank", max_sentences=10_000, lexrank=LexRankConfig(rounds=1, **k))
+    assert P.select(tok, docset, about, stop, graph()).where("sent_index = -1").count() > 0
+    with pytest.raises(ValueError):
+        P.select(tok, docset, about, stop, graph(similarity="word_vector"))
+    with pytest.raises(ValueError):
+        P.select(tok, docset, about, stop, Config(method="select_none"))
+
+
+def test_threshold_graph_equals_the_matrix(spark):
+    x = np.array([[0.8, 0.6, 0], [1, 0, 0], [0, 0.6, 0.8], [0, 0, 1]])
+    v = spark.createDataFrame([("t", "a", i, str(w), float(x[i, w])) for i in range(4) for w in range(3) if x[i, w]], "topic_id string, id string, sent_index long, word string, w double")
+    got = {r.sent_index: r.score for r in lexrank.threshold_lexrank(v, None, 0.5).collect()}
+    m = ((x @ x.T) > 0.5) * 1.0
+    want = np.linalg.solve(np.eye(4) - 0.6 * (m / m.sum(1, keepdims=True)).T, np.full(4, 0.1))
+    assert [got[i] for i in range(4)] == pytest.approx(want.tolist(), rel=3e-5)
+
+
+def test_word_vectors(spark):
+    table = spark.createDataFrame([("ash", [1.0, 0.0]), ("bay", [0.0, 2.0]), ("nil", [0.0, 0.0])], "word string, vector array<double>")
+    items = spark.createDataFrame([("a", 0, ["ash", "ash", "bay", "odd"]), ("a", 1, ["bay"]), ("a", 2, ["nil", "odd"]), ("a", 3, [])], "id string, sent_index long, tokens array<string>")
+    docset = spark.createDataFrame([("t", "a")], "topic_id string, id string")
+    means = vectors.mean_vectors(items, ["id", "sent_index"], table)
+    got = {r.sent_index: r.vector for r in means.collect()}
+    assert set(got) == {0, 1} and got[0] == pytest.approx([0.5**0.5] * 2) and got[1] == [0.0, 1.0]
+    sums = {r.sent_index: r.total for r in vectors.row_sums(means, docset).collect()}
+    assert sums == pytest.approx({0: 1 + 0.5**0.5, 1: 1 + 0.5**0.5})
+    asked = vectors.mean_vectors(spark.createDataFrame([("t", ["ash"])], "topic_id string, tokens array<string>"), ["topic_id"], table)
+    assert {r.sent_index: r.raw for r in vectors.query_similarity(means, docset, asked).collect()} == pytest.approx({0: 0.5**0.5, 1: 0.0})
+    idf = spark.createDataFrame([("ash", 3, 0.5), ("bay", 1, 1.0)], "word string, df long, idf double")
+    assert {r.sent_index: r.vector for r in vectors.mean_vectors(items, ["id", "sent_index"], table, idf).collect()}[0] == pytest.approx([1 / 5**0.5, 2 / 5**0.5])
+
+
+def test_hooks_of_similarity_and_succession(spark):
+    c = candidates(spark, ["Boats sank " + "x " * 100 + ".", "Ships went down.", "Something else."])
+    seen = realize.remove_redundant(c, similarity=lambda a, b: 1.0 if {a["sent_index"], b["sent_index"]} == {0, 1} else 0.0)
+    assert {r.sent_index for r in seen.where("not kept").collect()} == {1}
+    alike = c.join(spark.createDataFrame([(0, [1.0, 0.0]), (2, [1.0, 0.0])], "sent_index long, vector array<double>"), "sent_index", "left")
+    assert {r.sent_index for r in realize.remove_redundant(alike).where("not kept").collect()} == {2}
+    day = datetime.date(1999, 4, 1)
+    rows = pd.DataFrame([(n, day, 0, n, "x", 0.0) for n in "abc"], columns=["name", "date", "sent_index", "id", "text", "score"])
+    config = OrderingConfig(topical_weight=0.0, succession_weight=1.0, chrono_weight=0.0)
+    at = order.order_rows(rows, config, start=0, succession=lambda a, b: 1.0 if (a.name, b.name) == ("a", "b") else 0.0)
+    assert [rows["name"][k] for k in at] == ["a", "b", "c"]
+
+
+def test_scores_lower_while_they_are_taken():
+    rows = pd.DataFrame({"id": ["a", "a"], "sent_index": [0, 1], "tokens": [["x", "y"], ["x"]], "entities": [[], []], "query": [["x"], ["x"]], "removable": [False, False], "raw": [1.0, 3.0]})
+    lower = ngram.Scorer(rows, NgramConfig(reweight_scheme="before_selection", unigram_weight=1.0, bigram_weight=0.0))
+    got = ngram.pick_by_article(rows, lower)
+    assert got == pytest.approx({0: (0.5 + 0.25) / 2, 1: 0.5 - 1 / 4})  # sizes 4, then 3
+    assert lower.uni["y"] == pytest.approx(0.25 - 1 / 3) and lower.size == 1
+    blend = ngram.Scorer(rows, NgramConfig(unigram_weight=0.0, bigram_weight=0.0, query_weight=1.0, bias_weight=0.5))
+    assert ngram.pick_by_article(rows, blend) == pytest.approx({0: 0.5 * 0.5 + 0.5 * 0.25, 1: 0.5 * 1 + 0.5 * 0.75})
+    named = ngram.Scorer(rows.assign(entities=[["x y"], []]), NgramConfig(unigram_weight=0.0, bigram_weight=0.0, headline_weight=1.0))
+    assert named.one(["x", "y"], ["x y"]) == pytest.approx(0.5 + 0.25 + 1.0)  # the only bigram
+
+
+def test_one_of_each_row(spark, tmp_path):
+    rows = [("a", 1), ("b", 2), ("a", 1), (None, 3), ("c", 4), ("a", 1)]
+    df = spark.createDataFrame(rows, "id string, x int").repartition(3)
+    df.write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t")).withColumn("y", F.lit(1))
+    assert storage.in_files(stored) and not storage.in_files(df)
+    for got in (storage.one_of_each(stored, "id", ["x"]), storage.one_of_each(stored, "id", ["x"], 0), storage.one_of_each(df, "id", ["x"]), storage.one_of_each(stored.where("false"), "id", ["x"])):
+        assert sorted(tuple(r) for r in got.collect()) in ([("a", 1), ("b", 2), ("c", 4)], [])
+    numbers = {r.id: r.number for r in storage.with_numbers(stored, "id", ["x"]).collect()}
+    assert len(set(numbers.values())) == 3 and numbers == {r.id: r.number for r in storage.with_numbers(stored.repartition(1), "id", ["x"]).collect()} | numbers
+    words = stats.vocabulary(spark.createDataFrame([("b",), ("a",), ("c",), ("a",)], "word string"))
+    assert {r.word: r.number for r in words.collect()} == {"a": 0, "b": 1, "c": 2}
+
+
+def test_datasets_are_read_once(spark, tmp_path):
+    (tmp_path / "docs/old").mkdir(parents=True)
+    (tmp_path / "docs/new").mkdir()
+    (tmp_path / "topics.xml").write_text('<data><topic id="D1"><title>T</title><docsetA><doc id="A19990101.0001"/><doc id="X_ENG_20050101.0001"/></docsetA></topic></data>')
+    (tmp_path / "docs/old/1_ENG").write_text("<DOC><DOCNO> A19990101.0001 </DOCNO><BODY><TEXT><P>One.</P></TEXT></BODY></DOC>")
+    (tmp_path / "docs/old/2_ENG").write_text("<DOC><DOCNO> B19990101.0001 </DOCNO><BODY><TEXT><P>Two.</P></TEXT></BODY></DOC>")
+    (tmp_path / "docs/old/readme").write_text("<DOC><DOCNO> C19990101.0001 </DOCNO></DOC>")
+    with gzip.open(tmp_path / "docs/new/1.gz", "wt") as f:
+        f.write('<DOC id="X_ENG_20050101.0001" type="story">\n<HEADLINE>\nA < B &amp; C\n<TEXT><P>Ash <b broken</P><P>Bay</TEXT></DOC>\n<DOC type="other" id="Y_ENG_20050101.0001"><TEXT>own</TEXT></DOC>')
+    d = datasets.Dataset("devtest", "topics.xml", (("docs/old", "old", "*_ENG"), ("docs/new", "gz", "*.gz")), "store")
+    reg = datasets.Registry(d).under(str(tmp_path))
+    got = {r.id: (r.headline, r.paragraphs) for r in reg.topics(spark, "devtest").collect()}
+    assert got == {"A19990101.0001": (None, ["One."]), "X_ENG_20050101.0001": ("A < B & C", ["Ash <b broken", "Bay"])}
+    assert {r.id for r in datasets.all_articles(spark, reg["devtest"]).collect()} == set(got) | {"B19990101.0001", "Y_ENG_20050101.0001"}
+    assert datasets.all_articles(spark, reg["devtest"], 1).count() == 3
+    (tmp_path / "docs/old/1_ENG").unlink()
+    assert reg.topics(spark, "devtest").count() == 2  # from the store
+    with pytest.raises(ValueError):
+        reg.regenerate(spark)
     with pytest.raises(ValueError):
-        P.select(tok, tables.docset(spark, sf), tables.topics(spark, sf), [], Config(method="select_lexrank", lexrank=LexRankConfig(threshold=0.1)))
+        reg.topics(spark, "none")
+    counts = datasets.word_counts(spark, str(tmp_path / "counts"), lambda: spark.createDataFrame([("a", "x", 2), ("b", "x", 1)], "id string, word string, cnt long"))
+    assert datasets.words_of(counts, "a") == {"x": 2} and datasets.word_counts(spark, str(tmp_path / "counts"), None).count() == 2
+
+
+def test_sentences_by_subtopic(spark):
+    tok = spark.createDataFrame([("a", 0, ["ash", "bay"]), ("a", 1, ["cod"]), ("a", 2, ["bay", "ash", "elm"])], "id string, sent_index long, tokens array<string>")
+    docset = spark.createDataFrame([("t", "a")], "topic_id string, id string")
+    sub = spark.createDataFrame([("t", 0, "ash bay"), ("t", 1, "cod elm")], "topic_id string, subtopic int, words string")
+    assert {(r.sent_index, r.score) for r in topics.select_by_subtopic(tok, docset, sub).collect()} == {(0, 2.0), (1, 1.0)}
+
+
+def test_writers(spark, tmp_path):
+    lines = spark.createDataFrame([("D1001A", 0, "One."), ("D1001A", 1, "Two.")], "topic_id string, line_no long, sentence string")
+    files.write_summaries(lines, str(tmp_path / "out"))
+    made = [p for p in (tmp_path / "out").rglob("part-*")]
+    assert [p.parent.name for p in made] == ["name=D1001-A.M.100.A.1"] and made[0].read_text() == "One.\nTwo.\n"
+    pairs = files.rouge_pairs(spark.createDataFrame([("D1001-A.M.100.A.1",)], "name string"), spark.createDataFrame([("D1001-A.M.100.A.B",), ("D1002-A.M.100.A.B",)], "name string"))
+    files.rouge_config(pairs, "peers", "models", str(tmp_path / "rouge"))
+    text = "".join(p.read_text() for p in (tmp_path / "rouge").glob("part-*"))
+    assert '<M ID="B">D1001-A.M.100.A.B</M>' in text and "D1002" not in text
+    idf = spark.createDataFrame([("ash", 1, 0.5)], "word string, df long, idf double")
+    files.write_idf(idf, 1.5, str(tmp_path / "idf"))
+    back, default = files.read_idf(spark, str(tmp_path / "idf"))
+    assert default == 1.5 and [tuple(r) for r in back.collect()] == [("ash", 1, 0.5)]
 
 
 def test_graph_ranking_converges(spark):
