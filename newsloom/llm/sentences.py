@@ -170,7 +170,8 @@ class Splitter:
     def __init__(self, lang: str, texts: list[str], known: dict[tuple[str, str], bool], more: dict[str, bool] | None = None):
         self.lang, self.texts, self.known, self.more = lang, texts, known, more
         self._words: tuple[set[str], set[str]] | None = None
-        self._shown: tuple[set[str], set[str], set[str]] | None = None
+        self._short: dict[str, bool] = {}
+        self._plain: dict[str, bool] = {}
 
     def vocabulary(self) -> tuple[set[str], set[str]]:
         if self._words is None:
@@ -180,22 +181,47 @@ class Splitter:
     def common(self, word: str) -> bool:
         return _is_common(word, *self.vocabulary())
 
-    def shown(self) -> tuple[set[str], set[str], set[str]]:
-        """Unambiguous occurrences in the document: abbreviations (a lower-case word follows the stop), words inside a
-        sentence without a stop, and names (capitalised after a lower-case word)."""
-        if self._shown is None:
-            plain, names = set(), set()
+    def short(self, x: str) -> bool:
+        """Does the document show x as an abbreviation: with a stop before a lower-case word, and nowhere without one?"""
+        hit = self._short.get(x)
+        if hit is None:
+            hit = self._short[x] = self.stopped(x) and x not in self.vocabulary()[0]
+        return hit
+
+    def stopped(self, x: str) -> bool:
+        """Does x stand with a stop before a lower-case word?"""
+        dotted = x + "."
+        for t in self.texts:
+            k = t.find(dotted)
+            while k >= 0:
+                end = k + len(dotted)
+                if (k == 0 or t[k - 1].isspace() or t[k - 1] in _LEAD) and t[end : end + 1].isspace():
+                    after = t[end : end + 60].split(None, 1)
+                    if after and _is_lower(after[0]):
+                        return True
+                k = t.find(dotted, k + 1)
+        return False
+
+    def inside(self, word: str) -> Iterator[str]:
+        """What follows word where it stands after a word in lower case: inside a sentence, without a stop."""
+        if word in self.vocabulary()[0]:
             for t in self.texts:
-                parts = t.split()
-                for a, b, c in zip(parts, parts[1:], parts[2:] + [""]):
-                    if a[-1].islower() and b[-1].isalpha():
-                        if b[0].isupper():
-                            names.add(b)
-                        if c and _is_lower(c):
-                            plain.add(b)
-            short = {x for t in self.texts for m in _FOLLOW.finditer(t) if _is_lower(m[2]) and (x := _word(m[1]))}
-            self._shown = short, plain, names
-        return self._shown
+                if word in t:
+                    parts = t.split()
+                    for a, b, c in zip(parts, parts[1:], parts[2:] + [""]):
+                        if b == word and a[-1].islower():
+                            yield c
+
+    def plain(self, x: str) -> bool:
+        """Does the document show x inside a sentence without a stop, and never with one before a lower-case word?"""
+        hit = self._plain.get(x)
+        if hit is None:
+            hit = self._plain[x] = x[-1].isalpha() and any(c and _is_lower(c) for c in self.inside(x)) and not self.stopped(x)
+        return hit
+
+    def name(self, y: str) -> bool:
+        """Does y stand capitalised inside a sentence?"""
+        return bool(y) and y[0].isupper() and y[-1].isalpha() and any(True for _ in self.inside(y))
 
     def of_collection(self, forms: list[str]) -> bool | None:
         for w in forms:
@@ -218,20 +244,19 @@ class Splitter:
         if x == "##":
             return ends is not False or self.common(y)
         initial = len(x) == 1 and x.isalpha()
-        short, plain, names = self.shown()
-        own = not initial and any(w in short and w not in self.vocabulary()[0] for w in forms)
-        if not own and not initial and any(w in plain and w not in short for w in forms):
+        own = not initial and any(map(self.short, forms))
+        if not own and not initial and any(map(self.plain, forms)):
             return True  # a word of the document, no abbreviation
         if not own and ends is None and not initial and x not in BEFORE_NAMES:
             return True  # nothing speaks for an abbreviation
         z = y.strip(_LEAD + ",.;:!?)]}”»")
         if len(z) > 1 and z.lower() != z and z.lower() in self.vocabulary()[0]:
             return True  # an abbreviation before a common word
-        if ends is not None and not (own and not ends and z not in names):
+        if ends is not None and not (own and not ends and not self.name(z)):
             return ends
         if initial or x in BEFORE_NAMES:
             return False
-        return z not in names and self.common(y)
+        return not self.name(z) and self.common(y)
 
     def split(self, text: str) -> list[tuple[int, int]]:
         """Sentences of one paragraph as (start, end)."""
