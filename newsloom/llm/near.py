@@ -499,3 +499,18 @@ def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": p4_found, "p4_classes": p4_classes}
+
+#: Normalised texts, their shingles (by hash) and sizes, and the shared shingles of pairs: exact, for small collections.
+_EXACT = r"""d AS (SELECT id, any_value(headline) AS h, any_value(paragraphs) AS ps FROM articles WHERE id IS NOT NULL GROUP BY id),
+n AS (SELECT id, trim(regexp_replace(lower(concat(coalesce(h, ''), ' ', coalesce(array_to_string(list_filter(ps, lambda x: x IS NOT NULL), ' '), ''))), '[^\p{L}\p{M}\p{N}]+', ' ', 'g')) AS t FROM d),
+r AS (SELECT id, t, min(id) OVER (PARTITION BY t) AS representative FROM n WHERE length(t) >= 8),
+s AS (SELECT DISTINCT id, hash(substr(t, i, 8)) AS g FROM (SELECT id, t, unnest(range(1, length(t) - 6)) AS i FROM r)),
+z AS (SELECT id, count(*) AS c FROM s GROUP BY id),
+b AS (SELECT x.id AS id_a, y.id AS id_b, count(*) AS c FROM s x JOIN s y USING (g) WHERE x.id < y.id GROUP BY x.id, y.id),
+e AS (SELECT id_a, id_b FROM b JOIN z p ON p.id = id_a JOIN z q ON q.id = id_b WHERE b.c >= 0.6::DOUBLE * (p.c + q.c - b.c))"""
+SQL = {
+    "p4_found": f"WITH {_EXACT} SELECT id_a, id_b FROM e",
+    "p4_classes": f"""WITH {_EXACT}, h AS (SELECT id FROM r WHERE id = representative), l AS (SELECT id_a AS id, id_b AS o FROM e UNION ALL SELECT id_b, id_a FROM e),
+g AS (SELECT id AS representative, count(*) AS links FROM l WHERE id IN (SELECT id FROM h) AND o IN (SELECT id FROM h) GROUP BY id)
+SELECT id, representative, coalesce(links, 0) AS links FROM r LEFT JOIN g USING (representative)""",
+}

@@ -371,3 +371,17 @@ def p6_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p6_found": p6_found, "p6_shares": p6_shares}
+
+_WINDOWS = r"""d AS (SELECT id, any_value(paragraphs) AS ps FROM articles WHERE id IS NOT NULL GROUP BY id),
+p AS (SELECT id, para_no, ps[para_no + 1] AS t FROM (SELECT id, ps, unnest(range(0, len(ps))) AS para_no FROM d)),
+w AS (SELECT id, para_no, a, substr(t, a + 1, 160) AS s FROM (SELECT id, para_no, t, unnest(range(0, length(t) - 159)) AS a FROM p WHERE length(t) >= 160)),
+k AS (SELECT s FROM w GROUP BY s HAVING min(id) <> max(id)),
+f AS (SELECT id, para_no, a FROM w SEMI JOIN k USING (s)),
+g AS (SELECT *, CASE WHEN a <= lag(a) OVER (PARTITION BY id, para_no ORDER BY a) + 160 THEN 0 ELSE 1 END AS n FROM f),
+h AS (SELECT *, sum(n) OVER (PARTITION BY id, para_no ORDER BY a) AS r FROM g),
+x AS (SELECT id, para_no::INTEGER AS para_no, min(a)::INTEGER AS start_pos, (max(a) + 160)::INTEGER AS end_pos FROM h GROUP BY id, para_no, r)"""
+SQL = {
+    "p6_found": f"WITH {_WINDOWS} SELECT id, para_no, start_pos, end_pos FROM x",
+    "p6_shares": f"""WITH {_WINDOWS}, sh AS (SELECT id, sum(end_pos - start_pos)::BIGINT AS shared FROM x GROUP BY id)
+SELECT id, coalesce(list_sum(list_transform(ps, lambda q: coalesce(length(q), 0))), 0)::BIGINT AS n_chars, coalesce(shared, 0) AS shared FROM d LEFT JOIN sh USING (id)""",
+}
