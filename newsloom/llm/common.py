@@ -12,6 +12,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from newsloom.operators.storage import folder, one_of_each, remove, with_numbers, written
 
@@ -36,6 +37,27 @@ def distinct_articles(articles: DataFrame, columns: tuple[str, ...] = ("headline
     return one_of_each(articles, "id", list(columns))
 
 
+def bitmap(marks: DataFrame, bits: int) -> np.ndarray | None:
+    """Bytes of a bitmap of `bits` bits with those set that marks has in its column bit, None where it has none. The
+    executors put it together in pieces of 4 KB; its size is the caller's bound."""
+    at = F.col("bit") + 1
+    parts = marks.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("b")).collect()
+    if not parts:
+        return None
+    out = np.zeros(max(bits // 8, 4096), np.uint8)
+    for r in parts:
+        out[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(r.b, np.uint8)
+    return out
+
+
+def bits_set(marks: np.ndarray | None, bits: int, key: np.ndarray) -> np.ndarray:
+    """Is the bit of each key set?"""
+    if marks is None:
+        return np.zeros(len(key), bool)
+    at = (key & np.uint64(bits - 1)).astype(np.int64)
+    return (marks[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
 @functools.cache
 def char_table(pattern: str) -> np.ndarray:
     """Boolean array over all code points: is it matched by the character class?"""

@@ -10,7 +10,6 @@ rows give one pair; an item in several rows counts with each of its texts.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,11 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import chunks, codes, prefix_hash, runs, span_hash, table, word_chars
+from newsloom.llm.common import bitmap, bits_set, chunks, codes, prefix_hash, runs, span_hash, table, word_chars, written
 
 SEED = 13
-#: Characters of items that are sent to all tasks at once; more items are worked off in blocks of this size.
-BLOCK_CHARS = 8_000_000
+#: Characters of items that are sent to all tasks; with more of them, documents meet items by a join of their seeds.
+SENT_CHARS = 8_000_000
+#: Bits for each seed of the items in the bitmap by which documents pick their seeds for the join; at most MOST_BITS.
+BITS_A_SEED = 16
+MOST_BITS = 1 << 30
 
 PAIRS = "doc_id long, item_id long, tiles int, longest int, covered int, words int"
 
@@ -124,6 +126,19 @@ class Items:
         return sorted(out)
 
 
+def _row(words: Words, d: int, items: Items, i: int) -> tuple[int, int, int, int] | None:
+    """Tiles, longest, covered and words of an item in a text, None without a tile; tiles are compared word by word."""
+    here, there = words.of(d), items.words.of(i)
+    tiles = tile(words.hash[here], items.words.hash[there], int(items.least[i]))
+    tiles = [(a, b, n) for a, b, n in tiles if words.strings(here.start + a, here.start + a + n) == items.words.strings(there.start + b, there.start + b + n)]
+    return (len(tiles), max(n for *_, n in tiles), sum(n for *_, n in tiles), there.stop - there.start) if tiles else None
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [()] * 6
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 2 else pa.int32()) for k, c in enumerate(cols)], names=[x.split()[0] for x in PAIRS.split(", ")])
+
+
 def _find(items: Items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,35 +147,83 @@ def _find(items: Items):
             for s in chunks([len(t) for t in texts]):
                 words = Words(texts[s])
                 for d, i in items.candidates(words):
-                    least = int(items.least[i])
-                    here, there = words.of(d), items.words.of(i)
-                    tiles = tile(words.hash[here], items.words.hash[there], least)
-                    tiles = [(a, b, n) for a, b, n in tiles if words.strings(here.start + a, here.start + a + n) == items.words.strings(there.start + b, there.start + b + n)]
-                    if tiles:
-                        rows.append((ids[s.start + d], items.ids[i], len(tiles), max(n for *_, n in tiles), sum(n for *_, n in tiles), there.stop - there.start))
-            cols = list(zip(*rows)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 2 else pa.int32()) for k, c in enumerate(cols)], names=[x.split()[0] for x in PAIRS.split(", ")])
+                    if got := _row(words, d, items, i):
+                        rows.append((ids[s.start + d], items.ids[i], *got))
+            yield _batch(rows)
+
+    return run
+
+
+def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, length, item): the seeds of each item."""
+    for batch in batches:
+        items = Items(batch["item"].to_pylist(), batch["text"].to_pylist())
+        for length, (h, i) in items.seeds.items():
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), length, np.int32)), batch["item"].take(pa.array(i))], names=["h", "length", "item"])
+
+
+def _document_seeds(lengths: list[int], marks: np.ndarray, bits: int):
+    """(h, doc_id): the seeds of each document that an item may have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch["text"].to_pylist()]
+            for s in chunks([len(t) for t in texts]):
+                words = Words(texts[s])
+                for length in lengths:
+                    h, at = words.seeds(length)
+                    hit = bits_set(marks, bits, h)
+                    if not hit.any():
+                        continue
+                    pairs = np.unique(np.array([h[hit], words.text[at[hit]].astype(np.uint64)]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[0].view(np.int64)), batch["doc_id"].take(pa.array(pairs[1].astype(np.int64) + s.start))], names=["h", "doc_id"])
 
     return run
 
 
-def leaked_items(documents: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def _tile_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        docs, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
+        ids, passages = batch["item_id"].to_pylist(), batch["passage"].to_pylist()
+        rows = []
+        for s in chunks([len(t) + len(p) for t, p in zip(texts, passages)]):
+            words, items = Words(texts[s]), Items(ids[s], passages[s])
+            for k in range(s.stop - s.start):
+                if got := _row(words, k, items, k):
+                    rows.append((docs[s.start + k], ids[s.start + k], *got))
+        yield _batch(rows)
+
+
+def _by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The pairs where items are too many to be sent: seeds of documents, picked by a bitmap of the items' seeds, are
+    joined to them; only candidate pairs meet with their texts. The corpus is read twice, whatever the items' number."""
+    spark = docs.sparkSession
+    items = written(items.withColumn("item", F.concat_ws(":", "item_id", F.md5("text"))), "items")
+    seeds = written(items.mapInArrow(_item_seeds, "h long, length int, item string"), "seeds")
+    bits = 1 << 16
+    while bits < min(BITS_A_SEED * seeds.count(), MOST_BITS):
+        bits *= 2
+    marks = bitmap(seeds.select(F.col("h").bitwiseAND(bits - 1).alias("bit")), bits)
+    lengths = sorted(r.length for r in seeds.select("length").distinct().collect())
+    shared = spark.sparkContext.broadcast((lengths, marks, bits))
+    found = docs.mapInArrow(lambda batches: _document_seeds(*shared.value)(batches), "h long, doc_id long")
+    pairs = written(found.join(seeds, "h").select("doc_id", "item").distinct(), "candidates")
+    both = pairs.join(docs, "doc_id").join(items.select("item", "item_id", F.col("text").alias("passage")), "item")
+    return both.select("doc_id", "text", "item_id", "passage").mapInArrow(_tile_pairs, PAIRS)
+
+
+def leaked_items(documents: DataFrame, benchmark: DataFrame, sent_chars: int = SENT_CHARS) -> DataFrame:
     """(doc_id, item_id, tiles, longest, covered, words): documents that hold at least SEED consecutive words of an
-    item, or all words of a shorter one; covered: words of the item under tiles."""
+    item, or all words of a shorter one; covered: words of the item under tiles. Items of up to sent_chars characters
+    together are sent to all tasks, more are joined; the pairs are the same."""
     spark: SparkSession = documents.sparkSession
     items = benchmark.select("item_id", "text").where("item_id is not null and text is not null").distinct()
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n_blocks = max(1, math.ceil(total / block_chars))
     docs = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
-    parts = []
-    for k in range(n_blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).orderBy("item_id", "text").collect()
-        shared = spark.sparkContext.broadcast(Items([r.item_id for r in rows], [r.text for r in rows]))
-        parts.append(docs.mapInArrow(lambda batches, shared=shared: _find(shared.value)(batches), PAIRS))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    if (items.agg(F.sum(F.length("text"))).first()[0] or 0) > sent_chars:
+        return _by_join(docs, items)
+    rows = items.orderBy("item_id", "text").collect()
+    shared = spark.sparkContext.broadcast(Items([r.item_id for r in rows], [r.text for r in rows]))
+    return docs.mapInArrow(lambda batches: _find(shared.value)(batches), PAIRS)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import chunks, codes, distinct_articles, mix, prefix_hash, span_hash, table, word_chars, written
+from newsloom.llm.common import bitmap, bits_set, chunks, codes, distinct_articles, mix, prefix_hash, span_hash, table, word_chars, written
 
 SHINGLE = 8
 THRESHOLD = 0.6
@@ -194,8 +194,7 @@ class Plan:
         self.bits, self.levels, self.big, self.depth = bits, levels, {}, 1
 
     def is_big(self, level: int, key: np.ndarray) -> np.ndarray:
-        at = (key & np.uint64(self.bits - 1)).astype(np.int64)
-        return (self.big[level][at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool) if level in self.big else np.zeros(len(key), bool)
+        return bits_set(self.big.get(level), self.bits, key)
 
     def blocks(self, key: np.ndarray) -> np.ndarray:
         """Into how many blocks nodes of the last level are cut: a power of two; entry levels + c: nodes of more than 2**c
@@ -245,18 +244,6 @@ def _count_nodes(plan: Plan, level: int, trees: range):
     return run
 
 
-def _bitmap(counts: DataFrame, more_than: int, bits: int) -> np.ndarray | None:
-    """Bits of counts above a bound, put together by the executors in pieces of 4 KB."""
-    at = F.col("bit") + 1
-    parts = counts.where(F.col("n") > more_than).groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("b")).collect()
-    if not parts:
-        return None
-    out = np.zeros(max(bits // 8, 4096), np.uint8)
-    for r in parts:
-        out[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(r.b, np.uint8)
-    return out
-
-
 def plan_nodes(reps: DataFrame, total: int, node_rows: int = NODE_ROWS, levels: int = OUTER_LEVELS) -> Plan:
     """Counts the nodes level by level, and branches on those of more than node_rows records."""
     bits = 1 << 16
@@ -284,11 +271,11 @@ def plan_nodes(reps: DataFrame, total: int, node_rows: int = NODE_ROWS, levels:
             trees = range(done.get(level, 0), trees_for(plan.depth))
             counts = count(level, trees)
             if level < levels:
-                more = add(level, _bitmap(counts, node_rows, bits))
+                more = add(level, bitmap(counts.where(F.col("n") > node_rows), bits))
                 deeper = deeper or more
             else:
                 c = 0
-                while add(levels + c, _bitmap(counts, node_rows << c, bits)):
+                while add(levels + c, bitmap(counts.where(F.col("n") > node_rows << c), bits)):
                     c += 1
             done[level] = trees.stop
         if not (deeper and plan.depth in plan.big) or plan.depth == levels:
