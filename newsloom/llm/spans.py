@@ -37,7 +37,7 @@ FAN_OUT = 3
 BUCKET_ROWS = 2_000_000
 GROWTH = 16
 #: Batches in which the queries feed the articles to the index, by year.
-BATCHES = 5
+BATCHES = 4
 
 PRINTS = "h long, id string, para_no int, pos int"
 NEAR = "h long, id string, para_no int, at int, near string"
@@ -111,7 +111,10 @@ class FingerprintIndex:
         self.path = (path or folder(spark, "index")).rstrip("/")
         self.runs: list[tuple[str, int]] = []
         self.version = 0
-        found = [v for v in self._versions()]
+        self._at = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._at(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        listed = [f.getPath().getName() for f in self._fs.listStatus(self._at(self.path))] if self._fs.exists(self._at(self.path)) else []
+        found = [int(n.removeprefix("runs-")) for n in listed if n.startswith("runs-")]
         if found:
             self.version = max(found)
             state = json.loads(spark.read.text(f"{self.path}/runs-{self.version}").first().value)
@@ -120,26 +123,24 @@ class FingerprintIndex:
             for name, _ in self.runs:
                 spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (h BIGINT, id STRING, para_no INT, pos INT) USING parquet CLUSTERED BY (h) SORTED BY (h) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'")
 
-    def _versions(self) -> list[int]:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
-        return [int(n.removeprefix("runs-")) for n in names if n.startswith("runs-") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
-
     def _save(self) -> None:
-        """Writes the list of runs as a new version; the one before it stays valid until this one is whole."""
-        self.version += 1
+        """Writes the list of runs as a new version, which shows only when it is whole; then the one before it goes."""
         state = json.dumps({"runs": self.runs, "buckets": self.buckets, "gram": self.gram, "length": self.length})
-        self.spark.createDataFrame([(state,)], "value string").coalesce(1).write.text(f"{self.path}/runs-{self.version}")
+        out = self._fs.create(self._at(f"{self.path}/_runs"), True)
+        out.write(bytearray(state.encode()))
+        out.close()
+        self.version += 1
+        self._fs.rename(self._at(f"{self.path}/_runs"), self._at(f"{self.path}/runs-{self.version}"))
         remove(self.spark, f"{self.path}/runs-{self.version - 1}")
 
     def append(self, records: DataFrame) -> DataFrame:
         """Adds a batch (id, paragraphs) as a run; see add. Copies of a record in it do no harm."""
-        return self.add(fingerprints(records.select("id", "paragraphs"), self.gram, self.length))
+        prints = fingerprints(records.select("id", "paragraphs"), self.gram, self.length)
+        return self.add(written(prints, "prints") if self.buckets is None else prints)
 
     def add(self, prints: DataFrame) -> DataFrame:
-        """Adds fingerprints as a run. Returns (h, id, para_no, pos): of all that the batch shares with another record,
-        in the history or in itself, the places in the batch and in the history."""
+        """Adds fingerprints as a run. Returns (h): those that the batch shares with another record, in the history or in
+        itself; `places` has where they stand."""
         history = list(self.runs)
         self._write(prints)
         new = self._held(self.runs[-1][0])
@@ -147,12 +148,16 @@ class FingerprintIndex:
             old = self._held(name).select("h", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
             new = new.hint("merge").join(old, "h", "left").select("h", F.least("lo", "lo2").alias("lo"), F.greatest("hi", "hi2").alias("hi"))
         shared = written(new.where("lo <> hi").select("h"), "shared")
-        places = [self.spark.table(name).join(shared, "h", "left_semi") for name, _ in self.runs]
-        hits = written(reduce(DataFrame.unionByName, places), "hits")
         if len(self.runs) > self.fan_out:
             self.compact()
-        self._save()
-        return hits
+        else:
+            self._save()
+        return shared
+
+    def places(self, shared: DataFrame) -> DataFrame:
+        """(h, id, para_no, pos): where fingerprints (h) stand, in all runs."""
+        wanted = shared.select("h").distinct()
+        return reduce(DataFrame.unionByName, [self.spark.table(name).join(wanted, "h", "left_semi") for name, _ in self.runs])
 
     def _held(self, run: str) -> DataFrame:
         """(h, lo, hi): least and greatest id that hold a fingerprint in a run."""
@@ -160,11 +165,10 @@ class FingerprintIndex:
 
     def _write(self, prints: DataFrame) -> None:
         if self.buckets is None:
-            prints = written(prints, "prints")
             self.buckets = max(12, math.ceil(prints.count() * GROWTH / BUCKET_ROWS))
         name = f"run_{uuid.uuid4().hex}"
         prints.repartition(self.buckets, "h").write.bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.path}/{name}").saveAsTable(name)
-        self.runs.append((name, self.spark.table(name).count()))
+        self.runs.append((name, self._fs.getContentSummary(self._at(f"{self.path}/{name}")).getLength()))
 
     def compact(self) -> None:
         """Merges the smallest runs, as many as exceed half the fan-out, into one; the old ones and their files go."""
@@ -172,7 +176,7 @@ class FingerprintIndex:
         n = len(self.runs) - self.fan_out // 2
         old, self.runs = self.runs[:n], self.runs[n:]
         self._write(reduce(DataFrame.unionByName, [self.spark.table(r) for r, _ in old]))
-        self._save()
+        self._save()  # before the files go: a list of runs always names whole ones
         for name, _ in old:
             self.spark.sql(f"DROP TABLE {name}")
             remove(self.spark, f"{self.path}/{name}")
@@ -311,7 +315,7 @@ def _explode_windows(length: int):
 def shared_spans(articles: DataFrame, hits: DataFrame, gram: int = GRAM, length: int = LENGTH) -> DataFrame:
     """(id, para_no, start_pos, end_pos): maximal stretches covered by spans that another record has.
 
-    articles: all records; hits: what the index gave for their batches. Groups of more than HOT occurrences are compared
+    articles: all records; hits: the places of what their batches share. Groups of more than HOT occurrences are compared
     by an aggregation over their windows, which combines on the map side and so stands any number of records with the
     same gram; there two hashes of 64 bits stand for a window.
     """
@@ -353,8 +357,8 @@ def spans_of_batches(articles: DataFrame) -> DataFrame:
     fingerprints(articles.select("id", "paragraphs", batch.alias("batch"))).write.partitionBy("batch").parquet(path)
     prints = spark.read.schema(PRINTS + ", batch int").parquet(path)
     index = FingerprintIndex(spark)
-    hits = [index.add(prints.where(F.col("batch") == k).drop("batch")) for k in range(max(1, len(last)))]
-    return shared_spans(articles, reduce(DataFrame.unionByName, hits))
+    shared = [index.add(prints.where(F.col("batch") == k).drop("batch")) for k in range(max(1, len(last)))]
+    return shared_spans(articles, index.places(reduce(DataFrame.unionByName, shared)))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

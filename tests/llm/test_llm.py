@@ -261,7 +261,7 @@ def test_shared_spans_against_brute_force(spark, monkeypatch, tmp_path, hot):
     hits.append(again.append(a.where("id >= 'D13'")))
     assert len(again.runs) == 2  # compacted, and the files of the old runs are gone
     assert len([f for f in (tmp_path / "index").iterdir() if f.name.startswith("run_")]) == 2
-    hits = hits[0].unionByName(hits[1]).unionByName(hits[2])
+    hits = again.places(hits[0].unionByName(hits[1]).unionByName(hits[2]))
     held = collections.defaultdict(set)
     for i, ps in rows[:15]:
         for p in ps:
