@@ -128,6 +128,13 @@ TRIM = [
 NEVER_IN_TOKEN = ["--", "~", "$", "..", "(", ")", "|", "%", "\\", "/", "^", "@", "#", "!", "+", ",", ";", ":", "{", "}"]
 NEVER_MATCHED = [r"[A-Z|a-z]+[0-9]{2,}", r"-", r"\s", r"\..*\.", r"^\d*\.", r"^\d"]
 
+# Tokens like a number or an address: number words, and ends of addresses without the marks above.
+NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion trillion".split()
+LIKE_ADDRESS = r"(?i)^www\.|\w\.(?:com|org|net|edu|gov)$"
+
+# Adverbs before a verb that open a sentence without naming its subject, a closed class in place of a tagger.
+OPENING_ADVERBS = ["here", "now", "then", "thus", "so", "only", "also", "still"]
+OPENING_VERBS = ["is", "has", "does", "comes", "goes", "says", "seems", "remains", "stands", "lies", "begins", "ends"]
 # Openings that keep a sentence although they begin with a pronoun.
 KEPT_OPENINGS = ["there are", "there 're", "there is", "there 's", "it is", "it 's", "it has", "it was", "this is", "that 's", "that is"]
 # Pronouns and determiners that open a sentence without naming its subject, a closed class in place of a parser.

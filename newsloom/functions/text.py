@@ -87,6 +87,7 @@ def countworthy(token: Column, stop_words: list[str]) -> Column:
     bad = F.lit(False)
     for s in rules.NEVER_IN_TOKEN:
         bad = bad | F.contains(token, F.lit(s))
+    bad = bad | F.lower(token).isin(rules.NUMBER_WORDS) | token.rlike(rules.LIKE_ADDRESS)
     bad = bad | token.rlike("|".join(rules.NEVER_MATCHED)) | token.rlike(r"(\w)\1{2,}") | ~token.rlike(r"[\p{L}\p{N}]")
     return ~(bad | F.lower(token).isin(stop_words)) if stop_words else ~bad
 
@@ -96,8 +97,10 @@ def first_words(text: Column) -> Column:
 
 
 def opens_with_pronoun(text: Column) -> Column:
-    """Begins with a pronoun, unless it is one of the openings that are kept."""
-    return F.lower(F.regexp_extract(text, r"^\W*(\w+)", 1)).isin(rules.PRONOUNS) & ~first_words(text).isin(rules.KEPT_OPENINGS)
+    """Begins with a pronoun, unless it is one of the openings that are kept, or with an adverb before a verb."""
+    first = F.lower(F.regexp_extract(text, r"^\W*(\w+)", 1))
+    second = F.lower(F.regexp_extract(text, r"^\W*\w+ (\w+)", 1))
+    return (first.isin(rules.PRONOUNS) & ~first_words(text).isin(rules.KEPT_OPENINGS)) | (first.isin(rules.OPENING_ADVERBS) & second.isin(rules.OPENING_VERBS))
 
 
 def lacks_subject(text: Column) -> Column:

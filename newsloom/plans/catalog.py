@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newsloom.config import Config, NgramConfig, RealizationConfig
+from newsloom.config import Config, NgramConfig, OrderingConfig, RealizationConfig
 from newsloom.functions import rules
 from newsloom.functions import text as T
 from newsloom.operators import lexrank, ngram, order, realize, rouge, segment, stats, topics, vectors
@@ -81,7 +81,12 @@ SCORED = f"""{TOKS}, {DOCSET}, {probs_sql(1)}, {probs_sql(2)}, {gram_score_sql(1
 scored AS (SELECT topic_id, id, sent_index, text, n_words, round(0.2::DOUBLE * coalesce(s1, 0) + 0.9::DOUBLE * coalesce(s2, 0), 9) AS score
  FROM toks JOIN docset USING (id) LEFT JOIN g1 USING (topic_id, id, sent_index) LEFT JOIN g2 USING (topic_id, id, sent_index))"""
 QUOTED = """(contains(text, '"') AND NOT regexp_matches(text, '\\w "\\w+( \\w+){0,2}" \\w'))"""
-PRONOUN = "(lower(regexp_extract(text, '^\\W*(\\w+)', 1)) IN ({}) AND lower(array_to_string(string_split(text, ' ')[1:2], ' ')) NOT IN ({}))".format(", ".join(f"'{p}'" for p in rules.PRONOUNS), ", ".join("'" + k.replace("'", "''") + "'" for k in rules.KEPT_OPENINGS))
+def _listed(words: list[str]) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+PRONOUN = rf"""((lower(regexp_extract(text, '^\W*(\w+)', 1)) IN ({_listed(rules.PRONOUNS)}) AND lower(array_to_string(string_split(text, ' ')[1:2], ' ')) NOT IN ({_listed(rules.KEPT_OPENINGS)}))
+ OR (lower(regexp_extract(text, '^\W*(\w+)', 1)) IN ({_listed(rules.OPENING_ADVERBS)}) AND lower(regexp_extract(text, '^\W*\w+ (\w+)', 1)) IN ({_listed(rules.OPENING_VERBS)})))"""
 REMOVABLE = f"({QUOTED} OR right(text, 1) NOT IN ('.', ';') OR contains(text, '?') OR n_words < 4 OR {PRONOUN})"
 CAND = f"""{SCORED},
 cand AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, id, sent_index) AS rk, sum(n_words) OVER (PARTITION BY topic_id) AS w FROM (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, id, sent_index) <= 20))"""
@@ -222,7 +227,7 @@ _NEVER = " OR ".join("contains(word, '{}')".format(x) for x in rules.NEVER_IN_TO
 _SAME3 = "|".join(c * 3 for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_")
 _TERMS = f"""{DOCS}, ca AS (SELECT id, {clean_sql("coalesce(array_to_string(list_filter(ps, lambda x: x IS NOT NULL), ' '), '')", True)} AS text FROM docs),
 rw AS (SELECT id, regexp_replace(unnest(string_split(text, ' ')), '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g') AS word FROM ca),
-tm AS (SELECT id, word, count(*) AS cnt FROM rw WHERE NOT ({_NEVER} OR regexp_matches(word, '{"|".join(rules.NEVER_MATCHED)}') OR regexp_matches(word, '{_SAME3}') OR NOT regexp_matches(word, '[\\p{{L}}\\p{{N}}]')) AND lower(word) NOT IN (SELECT word FROM common_words) GROUP BY id, word)"""
+tm AS (SELECT id, word, count(*) AS cnt FROM rw WHERE NOT ({_NEVER} OR lower(word) IN ({_listed(rules.NUMBER_WORDS)}) OR regexp_matches(word, '{rules.LIKE_ADDRESS}') OR regexp_matches(word, '{"|".join(rules.NEVER_MATCHED)}') OR regexp_matches(word, '{_SAME3}') OR NOT regexp_matches(word, '[\\p{{L}}\\p{{N}}]')) AND lower(word) NOT IN (SELECT word FROM common_words) GROUP BY id, word)"""
 
 
 @query(f"WITH {_TERMS} SELECT id, word, cnt FROM tm")
@@ -549,7 +554,15 @@ def lexical_overlap(spark: SparkSession, d: str) -> DataFrame:
     return realize.overlaps(_candidates(spark, d)).withColumn("overlap", F.round("overlap", 9))
 
 
-@query()
+#: The greedy removal as a walk over all ordered pairs of a topic's candidates: what is gone, and how many words went.
+_GREEDY = f"""{CAND}, tm AS (SELECT topic_id, max(rk) AS m, sum(n_words) - 100 AS spare FROM cand GROUP BY topic_id), x AS (SELECT topic_id, rk, n_words, {_WORDS} AS ws FROM cand),
+o AS MATERIALIZED (SELECT topic_id, (a.rk - 1) * m + b.rk - 1 AS s, a.rk AS i, b.rk AS j, b.n_words AS n, a.rk <> b.rk AND {_OV.format(a="a.ws", b="b.ws")} > 0.74::DOUBLE AS hit FROM x a JOIN x b USING (topic_id) JOIN tm USING (topic_id)),
+wk AS (SELECT topic_id, 0::BIGINT AS s, []::BIGINT[] AS gone, 0::BIGINT AS dropped, m, spare FROM tm
+ UNION ALL SELECT wk.topic_id, wk.s + 1, CASE WHEN hit AND dropped < spare AND NOT list_contains(gone, i) AND NOT list_contains(gone, j) THEN list_append(gone, j) ELSE gone END,
+  CASE WHEN hit AND dropped < spare AND NOT list_contains(gone, i) AND NOT list_contains(gone, j) THEN dropped + n ELSE dropped END, m, spare FROM wk JOIN o ON o.topic_id = wk.topic_id AND o.s = wk.s)"""
+
+
+@query(f"WITH RECURSIVE {_GREEDY} SELECT topic_id, id, sent_index, NOT list_contains(gone, rk) AS kept FROM cand JOIN wk USING (topic_id) WHERE wk.s = m * m")
 def redundancy(spark: SparkSession, d: str) -> DataFrame:
     return realize.remove_redundant(_candidates(spark, d)).select("topic_id", "id", "sent_index", "kept")
 
@@ -605,6 +618,22 @@ def chrono_scores(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("topic_id", "a", "a_index", "b", "b_index", F.round(c, 6).alias("chrono"))
 
 
+_AFTER = """CASE WHEN a.id = b.id THEN CASE WHEN b.sent_index > a.sent_index THEN greatest(20 - 0.2::DOUBLE * (b.sent_index - a.sent_index), 15) ELSE 5.0::DOUBLE / (a.sent_index - b.sent_index) + 10 END
+ WHEN a.date <= b.date THEN greatest(date_diff('day', b.date, a.date) * 0.5::DOUBLE + 9, 0) + greatest((50 - b.sent_index) * 0.02::DOUBLE, 0)
+ ELSE greatest(-date_diff('day', b.date, a.date), -7) + greatest((20 - b.sent_index) * 0.05::DOUBLE - 1, -3) END"""
+
+
+@query(f"""WITH RECURSIVE {_DATED}, f AS MATERIALIZED (SELECT *, regexp_split_to_array(trim(text), '\\s+')[1] AS w1 FROM dc),
+fs AS (SELECT topic_id, rk, 100::DOUBLE * score + CASE WHEN sent_index IN (0, -1) THEN 15 ELSE 0 END - CASE WHEN w1 IN ({_WEAK}) THEN 10 WHEN contains('The', w1) THEN 5 ELSE 0 END - 0.1::DOUBLE * date_diff('day', min(date) OVER (PARTITION BY topic_id), date) + 0.22::DOUBLE * n_words AS v FROM f),
+nx AS MATERIALIZED (SELECT topic_id, a.rk AS i, b.rk AS j, 0.1::DOUBLE * 0.5::DOUBLE + 0.0::DOUBLE + 0.7::DOUBLE * ({_AFTER}) AS v FROM f a JOIN f b USING (topic_id) WHERE a.rk <> b.rk),
+sq AS (SELECT topic_id, 0::BIGINT AS line_no, arg_max(rk, {{'v': v, 'k': rk}}) AS rk, [arg_max(rk, {{'v': v, 'k': rk}})] AS seen FROM fs GROUP BY topic_id
+ UNION ALL SELECT topic_id, line_no, rk, list_append(seen, rk) FROM (SELECT sq.topic_id, sq.line_no + 1 AS line_no, arg_max(j, {{'v': v, 'k': j}}) AS rk, any_value(seen) AS seen FROM sq JOIN nx ON nx.topic_id = sq.topic_id AND nx.i = sq.rk WHERE NOT list_contains(seen, j) GROUP BY sq.topic_id, sq.line_no))
+SELECT topic_id, line_no, text AS sentence FROM sq JOIN f USING (topic_id, rk)""")
+def ordered_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """The candidates of each topic in the order a summary would have them."""
+    return order.ordered(_candidates(spark, d), OrderingConfig())
+
+
 @query()
 def summaries_ngram(spark: SparkSession, d: str) -> DataFrame:
     return P.summarize(spark, d)

@@ -12,6 +12,15 @@ from newsloom.operators.storage import remove
 from newsloom.sources import files
 
 
+#: Form and file names of each corpus of tables.CORPORA.
+FORMS = {"A": ("old", "{*NYT,*_ENG}"), "B": ("new", "*.xml"), "C": ("gz", "*.gz")}
+
+
+def corpora(**roots: str) -> tuple[tuple[str, str, str], ...]:
+    """(root, form, glob) of corpora by name: corpora(A="...", C="...")."""
+    return tuple((root, *FORMS[name]) for name, root in roots.items())
+
+
 @dataclass(frozen=True)
 class Dataset:
     """topics: the topic file; corpora: (root, form, glob) of each corpus, form as files.read_articles; store: a folder

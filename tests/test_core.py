@@ -113,12 +113,19 @@ def test_guards_change_nothing(spark):
 
 
 def test_countworthy(spark):
-    bad = ["--pixar", "a0014", "13:45", "2,308.70", "-addressing", ".atlantawatergardens", "/dare", "000bo", "07.6'e", "box/", "c.l.g", "~~~ike", "zzzzznnappp", "x-43a"]
+    bad = ["--pixar", "a0014", "13:45", "2,308.70", "-addressing", ".atlantawatergardens", "/dare", "000bo", "07.6'e", "box/", "c.l.g", "~~~ike", "zzzzznnappp", "x-43a", "Seventy", "www.bay", "bay.org"]
     df = spark.createDataFrame([(w,) for w in [*bad, "zurbirggen"]], "w string")
     got = {r.w: r.c for r in df.select("w", T.countworthy(F.col("w"), []).alias("c")).collect()}
     assert got == {w: False for w in bad} | {"zurbirggen": True}
 
 
+def test_openings(spark):
+    df = spark.createDataFrame([("He left.",), ("There are boats.",), ("Here is the list.",), ("Here boats sank.",), ("Most sank.",), ("Boats sank.",)], "t string")
+    assert [r[0] for r in df.select(T.opens_with_pronoun(F.col("t"))).collect()] == [True, False, True, False, True, False]
+    df = spark.createDataFrame([("According to plan.",), ("Boats on the lake.",), ("Ann Ash, the captain, sailed.",)], "t string")
+    assert [tuple(r) for r in df.select(T.lacks_subject(F.col("t")), T.remove_appositives(F.col("t"))).collect()] == [(True, "According to plan."), (False, "Boats on the lake."), (False, "Ann Ash sailed.")]
+
+
 def articles(spark, rows):
     return spark.createDataFrame(rows, "id string, date date, headline string, paragraphs array<string>")
 
@@ -332,7 +339,7 @@ def test_datasets_are_read_once(spark, tmp_path):
     (tmp_path / "docs/old/readme").write_text("<DOC><DOCNO> C19990101.0001 </DOCNO></DOC>")
     with gzip.open(tmp_path / "docs/new/1.gz", "wt") as f:
         f.write('<DOC id="X_ENG_20050101.0001" type="story">\n<HEADLINE>\nA < B &amp; C\n<TEXT><P>Ash <b broken</P><P>Bay</TEXT></DOC>\n<DOC type="other" id="Y_ENG_20050101.0001"><TEXT>own</TEXT></DOC>')
-    d = datasets.Dataset("devtest", "topics.xml", (("docs/old", "old", "*_ENG"), ("docs/new", "gz", "*.gz")), "store")
+    d = datasets.Dataset("devtest", "topics.xml", datasets.corpora(A="docs/old", C="docs/new"), "store")
     reg = datasets.Registry(d).under(str(tmp_path))
     got = {r.id: (r.headline, r.paragraphs) for r in reg.topics(spark, "devtest").collect()}
     assert got == {"A19990101.0001": (None, ["One."]), "X_ENG_20050101.0001": ("A < B & C", ["Ash <b broken", "Bay"])}
