@@ -65,12 +65,14 @@ def _tagged(tokens: Column, n: int) -> Column:
     return F.transform(grams(tokens, n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
 
 
-def gram_table(tokens: DataFrame, docset: DataFrame, sizes: list[int]) -> tuple[DataFrame, DataFrame]:
-    """Occurrences (id, sent_index, size, n, gram, k) and probabilities (topic_id, n, gram, p) of n-grams of some sizes:
-    one explode, one aggregation by sentence, from which those by article and by topic follow."""
-    each = tokens.select("id", "sent_index", F.size("tokens").alias("size"), F.explode(tagged_grams(F.col("tokens"), sizes)).alias("g"))
-    occurrences = each.groupBy("id", "sent_index", "size", F.col("g.n").alias("n"), F.col("g.gram").alias("gram")).agg(F.count("*").alias("k"))
-    counts = occurrences.groupBy("id", "n", "gram").agg(F.sum("k").alias("cnt")).join(docset, "id").groupBy("topic_id", "n", "gram").agg(F.sum("cnt").alias("cnt"))
+def gram_table(tokens: DataFrame, docset: DataFrame, sizes: list[int], others: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Occurrences (topic_id, id, sent_index, size, *others, n, gram) and probabilities (topic_id, n, gram, p) of n-grams of
+    some sizes. Topics are joined to sentences, so what is exploded isn't moved before it is counted."""
+    keep = ["topic_id", "id", "sent_index", *(others or [])]
+    rows = tokens.select("id", "sent_index", "tokens", *(others or [])).join(docset, "id")
+    each = rows.select(*keep, F.size("tokens").alias("size"), F.explode(tagged_grams(F.col("tokens"), sizes)).alias("g"))
+    occurrences = each.select(*keep, "size", F.col("g.n").alias("n"), F.col("g.gram").alias("gram"))
+    counts = occurrences.groupBy("topic_id", "n", "gram").agg(F.count("*").alias("cnt"))
     articles = tokens.groupBy("id").agg(F.sum(F.size("tokens")).alias("words"), F.count("*").alias("sentences"))
     sums = articles.join(docset, "id").groupBy("topic_id").agg(F.sum("words").alias("words"), F.sum("sentences").alias("sentences"), F.count("*").alias("articles"))
     total = F.col("words") - (F.col("n") - 1) * F.col("sentences")
@@ -96,17 +98,18 @@ def sentence_scores(tokens: DataFrame, docset: DataFrame, config: NgramConfig, q
     base = tokens.select("id", "sent_index").join(docset, "id").select(*key)
     score = F.lit(0.0)
     if sizes:
-        occurrences, probs = gram_table(tokens, docset, sizes)
+        given = tokens
+        if named:
+            given = tokens.join(entities.select("id", "entities"), "id", "left")
+        occurrences, probs = gram_table(given, docset, sizes, ["entities"] if named else None)
         weight = F.lit(0.0)
         for n, w in weights.items():
             weight = F.when(F.col("n") == n, w).otherwise(weight)
-        joined = occurrences.join(docset, "id")
         value = weight / F.col("size")
         if named:
-            joined = joined.join(entities.select("id", "entities"), "id", "left")
             hits = F.when(F.col("n") <= 2, F.size(F.filter(F.coalesce("entities", F.array().cast("array<string>")), lambda e: F.contains(e, F.col("gram"))))).otherwise(0)
             value = value + config.headline_weight * hits
-        part = joined.join(probs, ["topic_id", "n", "gram"]).groupBy(*key).agg(F.sum(F.col("p") * F.col("k") * value).alias("s"))
+        part = occurrences.select(*key, "n", "gram", value.alias("value")).join(probs, ["topic_id", "n", "gram"]).groupBy(*key).agg(F.sum(F.col("p") * F.col("value")).alias("s"))
         base = base.join(part, key, "left")
         score = score + F.coalesce("s", F.lit(0.0))
     if config.cartesian_weight:
